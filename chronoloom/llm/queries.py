@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import pack
+
+try:
+    import public_tokenizers
+except ImportError:  # then their files' paths have to be given to the operators
+    public_tokenizers = None
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +42,11 @@ FROM k LEFT JOIN bad ON k.key = bad.key GROUP BY doc_id
 """
 
 
+def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -50,8 +62,14 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_line_dedup, op9_exact_dedup)}
+    found = [op5_line_dedup, op6_bpe_prefix_dp, op9_exact_dedup, op10_min_bin_slack]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
