@@ -9,6 +9,7 @@ from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
+from .simhash import simhash_components
 
 try:
     import public_tokenizers
@@ -47,6 +48,11 @@ def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_components(docs, words=3, distance=3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,7 +74,7 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op5_line_dedup, op6_bpe_prefix_dp, op9_exact_dedup, op10_min_bin_slack]
+    found = [op5_line_dedup, op6_bpe_prefix_dp, op8_simhash_golay, op9_exact_dedup, op10_min_bin_slack]
     return {f.__name__: f for f in found}
 
 
