@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .line_dedup import line_dedup
 from .packing import pack
 from .simhash import simhash_components
+from .topk import as_integers, nra_topk
+from .warc import dedup_archives
 
 try:
     import public_tokenizers
@@ -21,6 +24,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", as_integers(F.col("embedding"), 64).alias("vector"))
+    return nra_topk(vectors, F.col("vec_id") % 20 == 0, k=20).drop("depth_read")
+
+
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.a, c.a), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id(docs, size=400, most_rows=20_000)
+
+
+def op3_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return dedup_archives(pages, min_bytes=1000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body FROM pages
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM r
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup(docs, min_docs=10, min_chars=1)
@@ -74,9 +114,9 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op5_line_dedup, op6_bpe_prefix_dp, op8_simhash_golay, op9_exact_dedup, op10_min_bin_slack]
+    found = [op1_nra_topk, op2_langid, op3_warc_revisit, op5_line_dedup, op6_bpe_prefix_dp, op8_simhash_golay, op9_exact_dedup, op10_min_bin_slack]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op9_exact_dedup": OP9}
+    return {"op1_nra_topk": OP1, "op3_warc_revisit": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9}
