@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -49,7 +50,19 @@ class Vocabulary:
                 self.parts[r] = halves
                 self.merges[halves] = r
         #: the byte strings that can stand in an encoding
-        self.usable = {b: r for b, r in ranks.items() if r not in self.unreached}
+        usable = {b: r for b, r in ranks.items() if r not in self.unreached}
+        #: a trie of them: (node << 8 | byte) -> node, and the nodes' tokens, -1 for none
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        for b, r in usable.items():
+            node = 0
+            for x in b:
+                at = node << 8 | x
+                if (after := self.steps.get(at)) is None:
+                    after = self.steps[at] = len(self.ends)
+                    self.ends.append(-1)
+                node = after
+            self.ends[node] = r
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -99,37 +112,39 @@ class Prefixes:
         self.v, self.data, self.last = vocabulary, bytearray(), [-1]
         self.append(data)
 
-    def _fill(self, begin: int, end: int) -> Iterator[int]:
-        """The last tokens of the prefixes of begin to end - 1 bytes; -1 where there is none.
-        Each must have been put into the table when the next is asked for."""
-        v, data, last = self.v, bytes(self.data), self.last
-        usable, known, longest = v.usable.get, v.known, v.longest
-        for i in range(begin, end):
-            found = -1
-            for start in range(max(0, i - longest), i):
-                t = usable(data[start:i])
-                if t is None:
-                    continue
-                if not start:
-                    found = t
-                    break
-                if (before := last[start]) < 0:
-                    continue
-                pair = before << 20 | t
-                if (ok := known.get(pair)) is None:
-                    if len(known) >= 500_000:
-                        known.clear()
-                    ok = known[pair] = v.apart(before, t)
-                if ok:
-                    found = t
-                    break
-            yield found
+    def _fill(self, begin: int) -> Iterator[int]:
+        """Fills the table from prefix begin on and gives each prefix once its entry is final.
+        Tokens are looked for from where they start, down the trie."""
+        v, data, last = self.v, self.data, self.last
+        steps, ends, known, n = v.steps.get, v.ends, v.known, len(data)
+        last += [-1] * (n + 1 - len(last))
+        for start in range(max(0, begin - v.longest), n):
+            before = last[start]
+            if before >= 0 or not start:
+                node = 0
+                for i in range(start, n):
+                    if (node := steps(node << 8 | data[i])) is None:
+                        break
+                    if i + 1 < begin or last[i + 1] >= 0 or (t := ends[node]) < 0:
+                        continue
+                    if not start:
+                        last[i + 1] = t
+                        continue
+                    pair = before << 20 | t
+                    if (ok := known.get(pair)) is None:
+                        if len(known) >= 500_000:
+                            known.clear()
+                        ok = known[pair] = v.apart(before, t)
+                    if ok:
+                        last[i + 1] = t
+            if start + 1 >= begin:
+                yield start + 1
 
     def append(self, more: bytes) -> None:
         begin = len(self.data) + 1
         self.data += more
-        for t in self._fill(begin, len(self.data) + 1):
-            self.last.append(t)
+        for _ in self._fill(begin):
+            pass
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """data[start:stop] = new. Only prefixes that the edit can change are done again: once
@@ -139,13 +154,12 @@ class Prefixes:
         self.data[start:stop] = new
         del self.last[start + 1 :]
         same = done = 0
-        for i, t in enumerate(self._fill(start + 1, len(self.data) + 1), start + 1):
+        for i in self._fill(start + 1):
             k = i - (start + len(new)) - 1  # in old
-            self.last.append(t)
             done += 1
             same = same + 1 if k >= 0 and self.last[i] == old[k] else 0
             if same >= self.v.longest:
-                self.last += old[k + 1 :]
+                self.last[i + 1 :] = old[k + 1 :]
                 break
         return done
 
@@ -165,6 +179,9 @@ class Prefixes:
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_LITTLE = struct.Struct("<I").pack
+
+
 class _Cache(dict):
     """text -> its ids as little-endian 32-bit integers, by make() at first. Emptied when it
     holds too many; long texts aren't kept."""
@@ -199,7 +216,7 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
-        return np.array([whole] if whole is not None else Prefixes(self.vocabulary, raw).encode(), "<u4").tobytes()
+        return b"".join([_LITTLE(t) for t in ([whole] if whole is not None else Prefixes(self.vocabulary, raw).encode())])
 
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.matches(part)))
@@ -236,7 +253,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names)
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names)
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return given.mapInArrow(run, out).withColumnRenamed("id", id_col)
