@@ -192,7 +192,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             got = [place(n, r) for n, r in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist())]
             cols = [batch.column(c) for c in names2[:5]] + [pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column("ids")] * with_ids, names2)
+            yield pa.RecordBatch.from_arrays(cols + ([batch.column("ids")] if with_ids else []), names2)
 
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "part")
     return ranked.mapInArrow(put, out2).withColumnRenamed("id", id_col)
