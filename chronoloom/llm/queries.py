@@ -11,6 +11,7 @@ from .langid import language_id
 from .line_dedup import line_dedup
 from .packing import pack
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .topk import as_integers, nra_topk
 from .warc import dedup_archives
@@ -62,6 +63,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup(docs, length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup(docs, min_docs=10, min_chars=1)
@@ -121,7 +129,7 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_nra_topk, op2_langid, op3_warc_revisit, op5_line_dedup, op6_bpe_prefix_dp, op7_toxicity_cnn, op8_simhash_golay, op9_exact_dedup, op10_min_bin_slack]
+    found = [op1_nra_topk, op2_langid, op3_warc_revisit, op4_suffix_dedup, op5_line_dedup, op6_bpe_prefix_dp, op7_toxicity_cnn, op8_simhash_golay, op9_exact_dedup, op10_min_bin_slack]
     return {f.__name__: f for f in found}
 
 
