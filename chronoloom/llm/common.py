@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,25 @@ def ascii_lower(c: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that extra columns with clashing names do no harm."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+class TextCache(dict):
+    """text -> what make() gives for it. When it holds `most`, these become the old ones,
+    from which those that are asked for again are taken back; older ones are forgotten.
+    Long texts aren't kept, so that memory is bounded."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 48):
+        self.make, self.most, self.longest = make, most, longest
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+            if len(text) > self.longest:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[text] = out
+        return out

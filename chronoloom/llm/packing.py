@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import TextCache, only, written
 
 CAPACITY = 4096
+_LITTLE = struct.Struct("<I").pack
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -94,20 +96,12 @@ class Places:
         return first + n, at + slot * size
 
 
-class _Cache(dict):
-    """text -> its ids as little-endian 32-bit integers, by make() at first. Emptied when it
-    holds too many; long texts aren't kept."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, text: str) -> bytes:
-        out = self.make(text)
-        if len(text) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[text] = out
-        return out
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others for the code points from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
 class WordTokenizer:
@@ -115,26 +109,38 @@ class WordTokenizer:
     parts, and parts letters from ASCII punctuation. Then the text between spaces, and the
     letters and punctuation in it, are encoded once and remembered."""
 
-    def __init__(self, path: str, by_words: bool, most_cached: int = 400_000):
+    def __init__(self, path: str, by_words: bool, most_cached: int = 200_000):
         from tokenizers import Tokenizer
 
         self.t, self.by_words = Tokenizer.from_file(path), by_words
-        self.words = _Cache(self._encode, most_cached // 2)
-        self.chunks = _Cache(self._chunk, most_cached)
+        self.model, self.letters = self.t.model, _byte_letters()
+        self.words = TextCache(self._word, most_cached // 2)
+        self.chunks = TextCache(self._chunk, most_cached)
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A lower-case word, or punctuation: one piece, so the model can be asked directly."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return b"".join([_LITTLE(x.id) for x in self.model.tokenize(word)])
+
     def _chunk(self, chunk: str) -> bytes:
         m = self.plain(chunk)
-        if not m:
+        if not m or (m[2] and m[2] not in self.words and self._encode(m[2]) != self._word(m[2])):
             return self._encode(chunk)
         return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
             return self._encode(text)
+        try:  # in Latin-1 lower-casing is by letter, as the tokenizer's is
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
 
