@@ -33,6 +33,13 @@ def _or0(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
+class After:
+    """A feature as an expression over parts, columns of the aggregation's result."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+
 class Planner:
     """Helper columns and aggregates for one request."""
 
@@ -44,12 +51,18 @@ class Planner:
         self.ordered = self.all.orderBy("pos")
         self.running = self.ordered.rowsBetween(Window.unboundedPreceding, 0)
         self.keys = keys
-        self.levels: list[dict[str, Column]] = [{}, {}, {}]
+        self.levels: list[dict[str, Column]] = [{}, {}]
+        self.parts: dict[str, Column] = {}
 
     def helper(self, name: str, column: Column, level: int = 0) -> Column:
         self.levels[level][name] = column
         return F.col(name)
 
+    def part(self, name: str, aggregate: Column) -> Column:
+        """An aggregate that several expressions use, made once."""
+        self.parts[name] = aggregate
+        return F.col(name)
+
     # helper columns
 
     def before(self, lag: int = 1) -> Column:
@@ -87,9 +100,10 @@ class Planner:
 
     # features
 
-    def aggregate(self, spec: FeatureSpec) -> Column:
-        """The feature as an expression over aggregates."""
-        return _or0(getattr(self, "_" + spec.kind)(*spec.params).cast("double"))
+    def aggregate(self, spec: FeatureSpec) -> Column | After:
+        """The feature as an expression over aggregates, or over parts."""
+        made = getattr(self, "_" + spec.kind)(*spec.params)
+        return After(_or0(made.column.cast("double"))) if isinstance(made, After) else _or0(made.cast("double"))
 
     @property
     def v(self) -> Column:
@@ -305,28 +319,28 @@ class Planner:
 
     def _entropy(self):
         spread = self.high() - self.low()
-        bin_ = F.when(spread > TINY, F.floor((self.v - self.low()) / spread * 9))
-        total = F.lit(0.0)
-        for k in range(10):
-            p = F.count_if(bin_ == k) / self.n
-            total = total - F.when(p > 0, p * F.log(p)).otherwise(0.0)
-        return total
+        bin_ = self.helper("_bin", F.when(spread > TINY, F.floor((self.v - self.low()) / spread * 9)), 1)
+        n = self.part("_n", self.n)
+        shares = F.array(*[self.part(f"_bin_{k}", F.count_if(bin_ == k)) / n for k in range(10)])
+        return After(-F.aggregate(shares, F.lit(0.0), lambda total, p: total + F.when(p > 0, p * F.log(p)).otherwise(0.0)))
 
     def _benford_correlation(self):
         size = F.abs(self.v)
         exponent = F.floor(F.log10(F.when(size > 0, size)))
-        digit = _div(size, F.pow(F.lit(10.0), exponent))
+        # powers of ten below 1 aren't exact, so small values are multiplied
+        power = F.pow(F.lit(10.0), F.abs(exponent))
+        scaled = self.helper("_scaled", F.when(exponent < 0, size * power).otherwise(size / power))
         # log10 may be off by one at a power of ten
-        digit = F.floor(F.when(digit >= 10, digit / 10).when(digit < 1, digit * 10).otherwise(digit))
-        counts = [F.count_if(digit == d) for d in range(1, 10)]
-        total = sum(counts[1:], counts[0])
+        digit = self.helper("_digit", F.floor(F.when(scaled >= 10, scaled / 10).when(scaled < 1, scaled * 10).otherwise(scaled)), 1)
+        counts = [self.part(f"_digit_{d}", F.count_if(digit == d)) for d in range(1, 10)]
+        total = self.part("_digits", F.count(digit))
         laws = [math.log10(1 + 1 / d) for d in range(1, 10)]
-        law_mean = sum(laws) / 9
-        shares = [_div(c, total) for c in counts]
-        cross = sum((s * (b - law_mean) for s, b in zip(shares[1:], laws[1:])), shares[0] * (laws[0] - law_mean))
-        spread = sum(((s - 1 / 9) * (s - 1 / 9) for s in shares[1:]), (shares[0] - 1 / 9) * (shares[0] - 1 / 9))
-        law_spread = sum((b - law_mean) ** 2 for b in laws)
-        return F.when(spread > 0, _div(cross, F.sqrt(spread * law_spread)))
+        mean = sum(laws) / 9
+        # correlation doesn't change with scale, so counts stand for shares
+        cross = F.aggregate(F.array(*[c * (b - mean) for c, b in zip(counts, laws)]), F.lit(0.0), lambda t, x: t + x)
+        squares = F.aggregate(F.array(*[c * c for c in counts]), F.lit(0).cast("long"), lambda t, x: t + x)
+        spread = squares - total * total / 9
+        return After(F.when(spread > TINY, _div(cross, F.sqrt(spread * sum((b - mean) ** 2 for b in laws)))))
 
     def again(self) -> Column:
         same = Window.partitionBy(*self.keys, "v")
@@ -384,14 +398,19 @@ def features(frame: DataFrame, keys: list[str], specs: list[FeatureSpec], mode:
     for level in plan.levels:
         if level:
             frame = frame.withColumns(level)
-    aggregates = [c.alias(name) for name, c in made.items()]
+    aggregates = [c.alias(name) for name, c in (made | plan.parts).items() if not isinstance(c, After)]
     if whole:
         aggregates.append(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("_series"))
     out = frame.groupBy(*keys).agg(*(aggregates or [F.count("v").alias("_n")]))
     if whole:
         out = out.withColumn("_whole", whole_series([_from_array(s, mode, max_size, textbook) for s in whole])("_series"))
-        made |= {s.name: F.col("_whole")[k] for k, s in enumerate(whole)}
-    return out.select(*keys, *[(F.col("_whole")[whole.index(s)] if s in whole else F.col(f"`{s.name}`")).alias(s.name) for s in specs])
+
+    def shown(s: FeatureSpec) -> Column:
+        if s in whole:
+            return F.col("_whole")[whole.index(s)]
+        return made[s.name].column if isinstance(made[s.name], After) else F.col(f"`{s.name}`")
+
+    return out.select(*keys, *[shown(s).alias(s.name) for s in specs])
 
 
 def whole_series(kernels_: list):
