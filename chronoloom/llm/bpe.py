@@ -13,7 +13,7 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import TextCache, only
 
 
 class Vocabulary:
@@ -33,6 +33,8 @@ class Vocabulary:
         self.tokens = {r: b for b, r in ranks.items()}
         #: (left << 20 | right) -> apart(left, right), for pairs met so far
         self.known: dict[int, bool] = {}
+        #: first bytes -> their table and the tokens still open
+        self.stems: dict[bytes, tuple[list[int], list[int]]] = {}
         self.longest = max(map(len, ranks), default=0)
         #: token -> the two tokens that it was merged from; itself twice if it is one byte
         self.parts: dict[int, tuple[int, int]] = {}
@@ -105,46 +107,85 @@ class Vocabulary:
                         return True
 
 
-class Prefixes:
-    """The table of one piece of bytes."""
-
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), [-1]
-        self.append(data)
-
-    def _fill(self, begin: int) -> Iterator[int]:
-        """Fills the table from prefix begin on and gives each prefix once its entry is final.
-        Tokens are looked for from where they start, down the trie."""
-        v, data, last = self.v, self.data, self.last
-        steps, ends, known, n = v.steps.get, v.ends, v.known, len(data)
-        last += [-1] * (n + 1 - len(last))
-        for start in range(max(0, begin - v.longest), n):
-            before = last[start]
-            if before >= 0 or not start:
-                node = 0
-                for i in range(start, n):
-                    if (node := steps(node << 8 | data[i])) is None:
-                        break
-                    if i + 1 < begin or last[i + 1] >= 0 or (t := ends[node]) < 0:
-                        continue
+    def extend(self, data: bytes, begin: int, end: int, last: list[int], open_: list[int]) -> list[int]:
+        """Appends to last the entries of the prefixes of begin + 1 to end bytes. open_: the tokens
+        begun before begin that may end later, each as start << 24 | node of the trie; those
+        of end are returned, so that more bytes can follow at any time."""
+        steps, ends, known = self.steps.get, self.ends, self.known
+        for i in range(begin, end):
+            byte, found, still = data[i], -1, []
+            if last[i] >= 0 or not i:
+                open_.append(i << 24)
+            for at in open_:
+                if (node := steps((at & 0xFFFFFF) << 8 | byte)) is None:
+                    continue
+                start = at >> 24
+                still.append(start << 24 | node)
+                if found < 0 and (t := ends[node]) >= 0:
                     if not start:
-                        last[i + 1] = t
+                        found = t
                         continue
-                    pair = before << 20 | t
+                    pair = last[start] << 20 | t
                     if (ok := known.get(pair)) is None:
                         if len(known) >= 500_000:
                             known.clear()
-                        ok = known[pair] = v.apart(before, t)
+                        ok = known[pair] = self.apart(last[start], t)
                     if ok:
-                        last[i + 1] = t
-            if start + 1 >= begin:
-                yield start + 1
+                        found = t
+            open_ = still
+            last.append(found)
+        return open_
+
+    def split(self, data: bytes, last: list[int]) -> list[int]:
+        """The tokens of data, from its table."""
+        i, out = len(data), []
+        while i:
+            t = last[i]
+            if t < 0:
+                raise ValueError("bytes that the vocabulary can't encode")
+            out.append(t)
+            i -= len(self.tokens[t])
+        return out[::-1]
+
+    def encode(self, data: bytes, stem: int = 6) -> list[int]:
+        """The tokens of data. Tables of its first bytes are shared with other data."""
+        if len(data) <= stem:
+            last = [-1]
+            self.extend(data, 0, len(data), last, [])
+            return self.split(data, last)
+        if (known := self.stems.get(data[:stem])) is None:
+            if len(self.stems) >= 100_000:
+                self.stems.clear()
+            last = [-1]
+            known = self.stems[data[:stem]] = (last, self.extend(data, 0, stem, last, []))
+        last = known[0][:]
+        self.extend(data, stem, len(data), last, known[1][:])
+        return self.split(data, last)
+
+
+class Prefixes:
+    """The table of bytes that grow and change."""
+
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
+        self.v, self.data, self.last, self.open = vocabulary, bytearray(), [-1], []
+        self.append(data)
 
     def append(self, more: bytes) -> None:
-        begin = len(self.data) + 1
+        begin = len(self.data)
         self.data += more
-        for _ in self._fill(begin):
-            pass
+        self.open = self.v.extend(self.data, begin, len(self.data), self.last, self.open)
+
+    def _open_at(self, end: int) -> list[int]:
+        out = []
+        for start in range(max(0, end - self.v.longest), end):
+            node = 0
+            if not start or self.last[start] >= 0:
+                for x in self.data[start:end]:
+                    if (node := self.v.steps.get(node << 8 | x)) is None:
+                        break
+                else:
+                    out.append(start << 24 | node)
+        return out
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """data[start:stop] = new. Only prefixes that the edit can change are done again: once
@@ -153,26 +194,21 @@ class Prefixes:
         old = self.last[stop + 1 :]
         self.data[start:stop] = new
         del self.last[start + 1 :]
-        same = done = 0
-        for i in self._fill(start + 1):
-            k = i - (start + len(new)) - 1  # in old
+        open_, same, done = self._open_at(start), 0, 0
+        for i in range(start, len(self.data)):
+            open_ = self.v.extend(self.data, i, i + 1, self.last, open_)
+            k = i - (start + len(new))  # in old
             done += 1
-            same = same + 1 if k >= 0 and self.last[i] == old[k] else 0
+            same = same + 1 if k >= 0 and self.last[i + 1] == old[k] else 0
             if same >= self.v.longest:
-                self.last[i + 1 :] = old[k + 1 :]
+                self.last[i + 2 :] = old[k + 1 :]
                 break
+        self.open = self._open_at(len(self.data))
         return done
 
     def encode(self, size: int | None = None) -> list[int]:
         """Tokens of the first size bytes; of all by default."""
-        i, out = len(self.data) if size is None else size, []
-        while i:
-            t = self.last[i]
-            if t < 0:
-                raise ValueError("bytes that the vocabulary can't encode")
-            out.append(t)
-            i -= len(self.v.tokens[t])
-        return out[::-1]
+        return self.v.split(self.data if size is None else self.data[:size], self.last)
 
 
 #: The characters that \s stands for in the pattern (fixed values: Unicode's White_Space).
@@ -182,22 +218,6 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _LITTLE = struct.Struct("<I").pack
 
 
-class _Cache(dict):
-    """text -> its ids as little-endian 32-bit integers, by make() at first. Emptied when it
-    holds too many; long texts aren't kept."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, text: str) -> bytes:
-        out = self.make(text)
-        if len(text) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[text] = out
-        return out
-
-
 class Codec:
     """Encodes texts, each match of the pattern separately, as tiktoken does; decodes ids.
 
@@ -209,14 +229,14 @@ class Codec:
     def __init__(self, path: str, pattern: str, by_spaces: bool = True, most_cached: int = 400_000):
         self.vocabulary = Vocabulary.read(path)
         self.matches = regex.compile(pattern).findall
-        self.pieces = _Cache(self._piece, most_cached // 2)
-        self.parts = _Cache(self._part, most_cached)
+        self.pieces = TextCache(self._piece, most_cached // 2)
+        self.parts = TextCache(self._part, most_cached)
         self.cut = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+").findall if by_spaces else lambda text: [text]
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
-        return b"".join([_LITTLE(t) for t in ([whole] if whole is not None else Prefixes(self.vocabulary, raw).encode())])
+        return b"".join([_LITTLE(t) for t in ([whole] if whole is not None else self.vocabulary.encode(raw))])
 
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.matches(part)))
