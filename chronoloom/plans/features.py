@@ -95,7 +95,7 @@ class Planner:
         if not self.max_size or self.mode == SLIDING:
             return self.size()
         # sizes above max_size are padded too; they are few kinds, so they are listed by a function
-        padded = F.udf(lambda n: kernels.next_good_fft_size(max(self.max_size, n)), "int")
+        padded = F.udf(kernels.next_good_fft_size, "int")
         return self.helper("_fft_size", F.when(self.size() <= self.max_size, F.lit(kernels.next_good_fft_size(self.max_size))).otherwise(padded(self.size())), 1)
 
     # features

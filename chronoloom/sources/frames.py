@@ -63,7 +63,7 @@ def from_csv(spark: SparkSession, path: str, schema: str, order: str, columns: l
 def pad(frame: DataFrame, length: int, value: float = 0.0) -> DataFrame:
     """Series filled up to length with value; longer ones stay."""
     have = frame.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < length)
-    more = have.select(SERIES, F.explode(F.sequence(F.col("_n"), F.lit(length - 1).cast("long"))).cast("int").alias(POS), F.lit(float(value)).alias(VALUE))
+    more = have.select(SERIES, F.explode(F.sequence(F.col("_n").cast("int"), F.lit(length - 1))).alias(POS), F.lit(float(value)).alias(VALUE))
     return frame.unionByName(more)
 
 
