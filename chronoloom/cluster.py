@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent).as_posix())
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir, or a temporary
+    one where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/chronoloom-{name}-{uuid.uuid4().hex}"

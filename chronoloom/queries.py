@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import scratch
 from .operators import extract as ops
-from .sources.frames import from_arrays, from_long
+from .operators.selection import select_features
+from .sources.frames import from_arrays, from_long, from_wide, pad
+from .streaming.processors import expanding_stream, sliding_stream
 
 WINDOW, STRIDE, EVERY = 20, 5, 10
 
@@ -249,6 +252,90 @@ def _key(name: str) -> str:
     return re.sub(r"\W", "_", name)
 
 
+def _streamed(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The events as a stream of files, run until all are taken."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "stream")
+        _events(spark, sf_dir).write.parquet(f"{path}/in")
+        stream = make(spark.readStream.schema("series_id string, pos int, v double").parquet(f"{path}/in"))
+        stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+    return query
+
+
+STREAMED = ["mean", "median", "autocorr-3", "mean_abs_change", "entropy"]
+
+
+def _on_grid(out: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return out.select(*keys, *[_grid(F.col(f"`{n}`"), SQL[n][1]).alias(n) for n in names])
+
+
+def stream_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points come in one micro-batch, so each series has one row, over all of it."""
+    return _on_grid(_streamed(lambda s: expanding_stream(s, STREAMED))(spark, sf_dir), ["series_id"], STREAMED)
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_grid(_streamed(lambda s: sliding_stream(s, STREAMED, WINDOW, STRIDE))(spark, sf_dir), ["series_id", "window_id"], STREAMED)
+
+
+def source_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as series."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_custkey")
+    frame = from_wide(rows, "o_orderkey", ["o_totalprice", "o_custkey"])
+    return ops.extract(frame, ["mean", "min_value", "max_value", "peak_count"]).select("series_id", _grid(F.col("mean"), 3).alias("mean"), "min_value", "max_value", "peak_count")
+
+
+SOURCE_WIDE = f"""
+WITH u AS (SELECT o_orderkey, 'o_totalprice' AS series_id, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', o_custkey FROM orders),
+     w AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM u WINDOW o AS (PARTITION BY series_id ORDER BY o_orderkey))
+SELECT series_id, {_grid_sql("avg(v)", 3)} AS mean, CAST(min(v) AS DOUBLE) AS min_value, CAST(max(v) AS DOUBLE) AS max_value, CAST(count(*) FILTER (v > a AND v > b) AS DOUBLE) AS peak_count
+FROM w GROUP BY series_id
+"""
+
+
+def source_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series filled with zeros to 100 points."""
+    return _on_grid(ops.extract(pad(_events(spark, sf_dir), 100), ["mean", "median"]), ["series_id"], ["mean", "median"])
+
+
+SOURCE_PADDED = f"""
+WITH s AS ({SERIES_SQL["events"]}), p AS (SELECT series_id, v FROM s UNION ALL SELECT series_id, 0.0 FROM (SELECT series_id, unnest(range(count(*), 100)) FROM s GROUP BY series_id))
+SELECT series_id, {_grid_sql("avg(v)", 6)} AS mean, {_grid_sql("median(v)", 6)} AS median FROM p GROUP BY series_id
+"""
+
+
+def _selected(target: str | None) -> Callable[[SparkSession, str], DataFrame]:
+    names = ["total_sum", "mean", "std_dev", "variance", "energy", "turning_points", "median", "slope", "abs_max"]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("series_id"), "label", (F.col("label") % 2).alias("odd"))
+        table = ops.extract(_embeddings(spark, sf_dir), names).join(labels, "series_id")
+        found = select_features(table, names, target, fdr_level=0.5)
+        state = lambda n: "constant" if n in found.constant else "correlated" if n in found.correlated else "kept" if n in found.kept else "insignificant"
+        return spark.createDataFrame([(n, state(n)) for n in names], "feature string, state string")
+
+    return query
+
+
+# The greedy pass over correlated pairs as a recursion over the features in order.
+SELECT_UNSUPERVISED = f"""
+WITH RECURSIVE s AS ({SERIES_SQL["embeddings"]}),
+f AS (SELECT series_id, [sum(v), avg(v), stddev_samp(v), var_samp(v), sum(v * v), 0.0, median(v), regr_slope(v, pos), max(abs(v))] AS x FROM s GROUP BY series_id),
+l AS (SELECT series_id, unnest(range(1, 10)) AS i, unnest(x) AS x FROM f),
+k AS (SELECT i FROM l GROUP BY i HAVING stddev_pop(x) > 0),
+c AS (SELECT a.i, b.i AS j FROM l a JOIN l b ON a.series_id = b.series_id AND a.i < b.i WHERE a.i IN (SELECT i FROM k) AND b.i IN (SELECT i FROM k) GROUP BY a.i, b.i HAVING abs(corr(a.x, b.x)) > 0.98),
+g AS (SELECT list(i * 10 + j) AS close FROM c),
+r AS (SELECT 0 AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
+      SELECT r.i + 1, CASE WHEN list_contains(gone, r.i + 1) THEN gone ELSE list_concat(gone, list_transform(list_filter(coalesce(close, []), lambda z: z // 10 = r.i + 1), lambda z: z % 10)) END FROM r, g WHERE r.i < 9)
+SELECT ['total_sum', 'mean', 'std_dev', 'variance', 'energy', 'turning_points', 'median', 'slope', 'abs_max'][n.i] AS feature,
+       CASE WHEN n.i NOT IN (SELECT i FROM k) THEN 'constant' WHEN list_contains((SELECT gone FROM r WHERE i = 9), n.i) THEN 'correlated' ELSE 'kept' END AS state
+FROM range(1, 10) n(i)
+"""
+
+
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     out = {}
     for name, (_, digits, series, _) in SQL.items():
@@ -271,6 +358,12 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     for n in short:
         sql = re.sub(rf'\* {re.escape(str(10.0 ** SQL[n][1]))} \+ {_OFFSET}\) / {re.escape(str(10.0 ** SQL[n][1]))} AS "{re.escape(n)}"', f'* {10.0 ** digits[n]} + {_OFFSET}) / {10.0 ** digits[n]} AS "{n}"', sql)
     out["static_short_series"] = (out["static_short_series"][0], sql)
+    stream_sql = _features_sql(STREAMED, "events", "expanding")
+    out["stream_expanding"] = (stream_expanding, f'SELECT * EXCLUDE (end_pos) FROM ({stream_sql}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY end_pos DESC) = 1')
+    out["stream_sliding"] = (stream_sliding, _features_sql(STREAMED, "events", "sliding"))
+    out["source_wide"], out["source_padded"] = (source_wide, SOURCE_WIDE), (source_padded, SOURCE_PADDED)
+    out["select_unsupervised"] = (_selected(None), SELECT_UNSUPERVISED)
+    out["select_two_classes"], out["select_kendall"] = (_selected("odd"), ""), (_selected("label"), "")
     return out
 
 
@@ -284,4 +377,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _all().items()}
+    return {k: s for k, (_, s) in _all().items() if s}
