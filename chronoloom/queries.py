@@ -141,8 +141,8 @@ SQL: dict[str, tuple[str, int, str, str]] = {
     "cid_ce": ("coalesce(sqrt(sum(pow(v - lag1, 2))), 0)", 6, "events", "change"),
     "auc": (f"coalesce(sum((v + lag1) / 2), 0) + CASE WHEN {{static}} AND count(*) >= 4 THEN {_FIRST} ELSE 0 END", 4, "events", "change"),
     "signal_distance": ("coalesce(sum(sqrt(pow(v - lag1, 2) + 1)), 0)", 4, "events", "change"),
-    "slope": ("coalesce(regr_slope(v, pos), 0)", 6, "events", "trend"),
-    "intercept": ("coalesce(regr_intercept(v, pos), avg(v))", 6, "events", "trend"),
+    "slope": ("CASE WHEN count(*) > 1 THEN regr_slope(v, pos) ELSE 0 END", 6, "events", "trend"),
+    "intercept": ("CASE WHEN count(*) > 1 THEN regr_intercept(v, pos) ELSE avg(v) END", 6, "events", "trend"),
     "paa-6-4": ("coalesce(avg(v) FILTER (pos >= {edge}(n * 4 / 6) AND pos < {edge}(n * 5 / 6)), 0)", 6, "events", "trend"),
     "agg_linear_trend-slope-5-max": (f"CASE WHEN count(cy) >= 2 THEN {_SLOPE} ELSE 0 END", 6, "events", "trend"),
     "agg_linear_trend-intercept-5-mean": (f"CASE WHEN count(cy) >= 2 THEN avg(cy) - {_SLOPE} * avg(cx) ELSE 0 END", 6, "events", "trend"),
@@ -203,17 +203,17 @@ WHOLE_SQL: dict[str, tuple[str, int]] = {
 }
 
 
-def _features_sql(names: list[str], series: str, mode: str) -> str:
+def _features_sql(names: list[str], series: str, mode: str, digits: list[int] | None = None) -> str:
     key, frame = FRAME_SQL[mode]
     made = []
-    for name in names:
-        e, digits = SQL[name][0], SQL[name][1]
+    for name, places in zip(names, digits or [SQL[n][1] for n in names]):
+        e = SQL[name][0]
         for mark, text in {
             "{changes}": "count(*)" if mode == "sliding" else "(count(*) - 1)", "{static}": "true" if mode == "static" else "false", "{edge}": "round" if mode == "static" else "floor",
             **{f"{{acf{lag}}}": f"((count(*) - {lag}) * {_VAR})" if mode == "expanding" else _M2 for lag in (1, 2, 3)},
         }.items():
             e = e.replace(mark, text)
-        made.append(f'{_grid_sql(e, digits)} AS "{name}"')
+        made.append(f'{_grid_sql(e, places)} AS "{name}"')
     text = " ".join(made)
     wanted = {h for level in HELPERS for h in level if re.search(rf"\b{h}\b", text)}
     while more := {x for h in wanted for x in NEEDS.get(h, ())} - wanted:
@@ -351,13 +351,8 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             for one, names in by.items():
                 series = "embeddings" if family in ("spectral", "counts") else "events"
                 out[f"{mode}_{_key(one or family)}"] = (_run(names, series, mode, [SQL[n][1] for n in names]), _features_sql(names, series, mode))
-    short = ["total_sum", "mean", "variance", "median", "kurtosis", "slope", "autocorr-3", "c3-2", "paa-6-4", "auc"]
-    out["static_short_series"] = (_run(short, "orders", "static", [2, 4, 0, 4, 5, 3, 6, -6, 4, 2]), _features_sql(short, "orders", "static"))
-    digits = dict(zip(short, [2, 4, 0, 4, 5, 3, 6, -6, 4, 2]))
-    sql = out["static_short_series"][1]
-    for n in short:
-        sql = re.sub(rf'\* {re.escape(str(10.0 ** SQL[n][1]))} \+ {_OFFSET}\) / {re.escape(str(10.0 ** SQL[n][1]))} AS "{re.escape(n)}"', f'* {10.0 ** digits[n]} + {_OFFSET}) / {10.0 ** digits[n]} AS "{n}"', sql)
-    out["static_short_series"] = (out["static_short_series"][0], sql)
+    short = {"total_sum": 2, "mean": 4, "variance": 0, "median": 4, "kurtosis": 5, "slope": 3, "autocorr-3": 6, "c3-2": -6, "paa-6-4": 4, "auc": 2}  # large values, so a coarser grid
+    out["static_short_series"] = (_run(list(short), "orders", "static", list(short.values())), _features_sql(list(short), "orders", "static", list(short.values())))
     stream_sql = _features_sql(STREAMED, "events", "expanding")
     out["stream_expanding"] = (stream_expanding, f'SELECT * EXCLUDE (end_pos) FROM ({stream_sql}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY end_pos DESC) = 1')
     out["stream_sliding"] = (stream_sliding, _features_sql(STREAMED, "events", "sliding"))
