@@ -137,17 +137,25 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     keys = np.zeros(n, np.uint64)
     for j in range(8):
         keys = keys << np.uint64(8) | padded[j : j + n]
-    known = 8
-    while True:
-        order = np.argsort(keys)
-        new = np.concatenate([[False], keys[order][1:] != keys[order][:-1]])
-        ranks = np.empty(n, np.uint64)
-        ranks[order] = np.cumsum(new).astype(np.uint64)
-        if known >= depth or new[1:].all():
+    order = np.argsort(keys)
+    keys = keys[order]
+    places = np.arange(n)  # of order, those that aren't settled
+    ranks, known = np.empty(n, np.int64), 8
+    while True:  # a rank is the first place of those that are still alike
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        ranks[order[places]] = np.maximum.accumulate(np.where(new, places, 0))
+        alike = ~new
+        alike[:-1] |= ~new[1:]
+        places = places[alike]
+        if known >= depth or not len(places):
             return order
-        later = np.full(n, n, np.uint64)  # past the end: behind all others, as the padding is
-        later[: max(0, n - known)] = ranks[known:]
-        keys = ranks * np.uint64(n + 1) + later
+        at = order[places]
+        later = np.full(len(at), n, np.int64)  # past the end: behind all others, as the padding is
+        inside = at + known < n
+        later[inside] = ranks[at[inside] + known]
+        keys = ranks[at] * (n + 1) + later
+        by = np.argsort(keys)
+        order[places], keys = at[by], keys[by]
         known *= 2
 
 
@@ -161,20 +169,25 @@ def common_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     is_set = np.zeros(n + 1, bool)
     is_set[[0, n]] = True
     lo, hi = np.array([0]), np.array([n])
+    bits = np.int64(n.bit_length())
     for _ in range(length):  # intervals of w become those of cw, whose boundary gets the value |w|
         sizes = hi - lo
+        # an interval of one suffix goes on to one interval
+        one = lo[sizes == 1]
+        one = back[one[bwt[one] != _END]]
+        lo, sizes = lo[sizes > 1], sizes[sizes > 1]
         which = np.repeat(np.arange(len(lo)), sizes)
-        at = np.arange(len(which)) + np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        at = np.arange(len(which)) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
         symbols = bwt[at]
         inner = symbols != _END
-        at, group = at[inner], which[inner] << 8 | symbols[inner]
-        by = np.argsort(group, kind="stable")
-        at, group = at[by], group[by]
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
-        new_lo, new_hi = back[at[edge[:-1]]], back[at[edge[1:] - 1]] + 1
-        # of intervals that end at the same place only the first counts
-        new_hi, first = np.unique(new_hi, return_index=True)
-        new_lo = new_lo[first]
+        # by interval, symbol and place: the first and last place of a symbol give its interval
+        keys = np.sort((which[inner] << 8 | symbols[inner]) << bits | at[inner])
+        group, at = keys >> bits, keys & ((1 << int(bits)) - 1)
+        cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+        begins, ends = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
+        if not len(at):
+            begins = ends = cut
+        new_lo, new_hi = np.concatenate([one, back[at[begins]]]), np.concatenate([one, back[at[ends]]]) + 1
         fresh = ~is_set[new_hi]
         lo, hi = new_lo[fresh], new_hi[fresh]
         is_set[hi] = True
@@ -192,7 +205,9 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
         return [np.zeros(0, np.int64) for _ in texts]
     order, shares = common_prefixes(data, length)
     both = np.flatnonzero(shares)
-    starts = np.unique(np.concatenate([order[both], order[both - 1]]))
+    repeated = np.zeros(len(data), bool)
+    repeated[order[both]] = repeated[order[both - 1]] = True
+    starts = np.flatnonzero(repeated)
     text = np.searchsorted(begins, starts, "right") - 1
     inside = starts + length <= begins[text + 1] - 1
     starts, text = starts[inside], text[inside]
@@ -233,7 +248,7 @@ def _unsqueeze(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024) -> DataFrame:
     """(key, id, spans) for each row with bytes to remove; spans may overlap."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -315,7 +330,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return whole.union(partly).groupBy("key", "id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024) -> DataFrame:
     """docs and kept (binary: the UTF-8 bytes that stay), n_bytes, spans (start, stop of each
     maximal run that was removed). Clashing columns of docs give way.
 
