@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import only, strip_white, written
 
 MAX_DEPTH = 12
-_SPAN = "18446744073709551616"  # 2**64
+_SPAN = "36893488147419103232"  # 2**65: the id takes less than half of it, so rounding is safe
 _TOP = "9223372036854775807"  # 2**63 - 1
 
 
