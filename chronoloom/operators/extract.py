@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.features import EXPANDING, SLIDING, STATIC, features
@@ -23,11 +23,12 @@ def expanding(frame: DataFrame, names: list[str], every: int = 1, max_size: int
     A point goes to each prefix that it is in, so choose every in proportion to the length."""
     if every < 1:
         raise ValueError("every must be 1 at least")
-    last = frame.groupBy(SERIES).agg(F.max(POS).alias("_last"))
+    # the series' end comes by a window, so that the rows are exchanged once, by series
+    frame = frame.withColumn("_last", F.max(POS).over(Window.partitionBy(SERIES)))
     # prefixes end at multiples of every, less one; the last also at the series' end
     first = F.floor(F.col(POS) / every)
     ends = F.transform(F.sequence(first, F.floor(F.col("_last") / every)), lambda k: F.least((k + 1) * every - 1, F.col("_last").cast("long")))
-    rows = frame.join(last, SERIES).select(SERIES, POS, VALUE, F.explode(ends).alias("end_pos"))
+    rows = frame.select(SERIES, POS, VALUE, F.explode(ends).alias("end_pos"))
     return features(rows, [SERIES, "end_pos"], parse_all(names), EXPANDING, max_size, textbook)
 
 
@@ -37,11 +38,11 @@ def sliding(frame: DataFrame, names: list[str], window: int, stride: int = 1, te
     if window < 1 or stride < 1:
         raise ValueError("window and stride must be 1 at least")
     lo = F.greatest(F.lit(0), F.ceil((F.col(POS) - (window - 1)) / stride)).cast("long")
-    hi = F.floor(F.col(POS) / stride).cast("long")
-    rows = frame.where(lo <= hi).select(SERIES, POS, VALUE, F.explode(F.sequence(lo, hi)).alias("window_id"))
+    # the series' end comes by a window, so that the rows are exchanged once, by series
+    full = F.floor((F.max(POS).over(Window.partitionBy(SERIES)) - (window - 1)) / stride)
+    hi = F.least(F.floor(F.col(POS) / stride), F.col("_full")).cast("long")
+    rows = frame.withColumn("_full", full).where(lo <= hi).select(SERIES, POS, VALUE, F.explode(F.sequence(lo, hi)).alias("window_id"))
     rows = rows.withColumn(POS, (F.col(POS) - F.col("window_id") * stride).cast("int"))
-    last = frame.groupBy(SERIES).agg(F.max(POS).alias("_last"))
-    rows = rows.join(last, SERIES).where(F.col("window_id") * stride + window - 1 <= F.col("_last")).drop("_last")
     return features(rows, [SERIES, "window_id"], parse_all(names), SLIDING, None, textbook)
 
 
