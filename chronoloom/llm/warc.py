@@ -129,11 +129,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
-def dedup_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, per_file: int = 2000) -> DataFrame:
+def dedup_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, per_file: int | None = None) -> DataFrame:
     """Writes pages as archives below path (a new one in the shared folder by default) and
     reads them back; see resolve_revisits() and read_archives(). An empty table writes no
-    record."""
+    record. per_file: records in an archive; by default about 16 MB's worth, 2000 at most."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "archives")
-    write_archives(records(pages, resolve_revisits(pages, id_col, url_col, payload_col, min_bytes), id_col, url_col, payload_col), path, per_file)
+    resolved = written(resolve_revisits(pages, id_col, url_col, payload_col, min_bytes), "resolved")
+    if per_file is None:
+        mean = resolved.agg(F.avg(F.col("payload_bytes") + 1000)).first()[0]
+        per_file = max(1, min(2000, int(16e6 / (mean or 1000))))
+    write_archives(records(pages, resolved, id_col, url_col, payload_col), path, per_file)
     return read_archives(spark, path)
