@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextCache, only
+from .common import TextCache, only, slices
 
 
 class Vocabulary:
@@ -226,7 +226,7 @@ class Codec:
     makes up all of it. The parts repeat, and so do the matches in them; both are
     remembered. by_spaces=False for a pattern of which that isn't true."""
 
-    def __init__(self, path: str, pattern: str, by_spaces: bool = True, most_cached: int = 400_000):
+    def __init__(self, path: str, pattern: str, by_spaces: bool = True, most_cached: int = 300_000):
         self.vocabulary = Vocabulary.read(path)
         self.matches = regex.compile(pattern).findall
         self.pieces = TextCache(self._piece, most_cached // 2)
@@ -270,10 +270,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names)
+        c.parts.trim()
+        c.pieces.trim()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return given.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +79,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of few rows, so that little is held as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 class TextCache(dict):
     """text -> what make() gives for it. When it holds `most`, these become the old ones,
     from which those that are asked for again are taken back; older ones are forgotten.
@@ -99,3 +106,7 @@ class TextCache(dict):
             self.clear()
         self[text] = out
         return out
+
+    def trim(self) -> None:
+        """Forgets the old ones; for when a task ends but its worker stays."""
+        self.old = {}

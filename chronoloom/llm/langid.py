@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, slices
 
 UNKNOWN = "und"
 
@@ -93,7 +93,7 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     rows = bounded_sample(rows.where("text is not null and lang is not null"), F.col("key"), most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 by.setdefault(lang, []).append(ngrams(text))
@@ -117,11 +117,10 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     docs = docs.drop("lang_pred", "lang_score")
     model = spark.sparkContext.broadcast(profiles)  # size numbers for each language
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def predict(texts):
-        import pandas as pd
-
-        return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [model.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "lang_score"])
 
     predict = predict.asNondeterministic()  # else it may be run once for each field
     return docs.withColumn("_p", predict(F.col(f"`{text_col}`").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_p.lang_pred", "_p.lang_score")

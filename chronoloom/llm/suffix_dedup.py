@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .common import only, row_key, written
+from .common import only, row_key, slices, written
 
 GRAM = 32
-_SLAB = 1 << 20
+_SLAB = 1 << 19
 _END = 0xFF  # no byte of UTF-8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 24) - 1)
@@ -239,7 +239,7 @@ def _squeeze(texts: pa.Array) -> pa.Array:
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    return pa.array([z.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())
+    return pa.array([z.compress((t.as_py() or "").encode()) for t in texts], pa.binary())
 
 
 def _unsqueeze(b: bytes) -> bytes:
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["gram", "region", "key", "id", "start", "stop"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             for data, docs_at, text, offset in _slabs(texts, length):
                 part, start, stop, gram, region = regions(data, docs_at, length)
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holding = base.select("key", "id", _squeeze("text").alias("z")).join(wanted.hint("shuffle_hash"), (F.col("key") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             done: set = set()
             for key, id_, z, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "z", "parts"))):
                 if (key, id_) in done:  # a repeated row
@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = [(g, r, a, b) for (g, r, _), w in zip(rows, repeated_windows([x[2] for x in rows], length)) for a, b in _runs(w, length)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["gram", "region", "start", "stop"])
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "bytes"))):
                 if size >= _SLAB and row[0] != held[-1][0]:  # whole minimizers
                     yield solve(held)
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = fetched.where("not large").select("gram", "region", "bytes").repartition("gram").sortWithinPartitions("gram", "region").mapInArrow(compare, "gram long, region long, start long, stop long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for gram, region, b in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "bytes"))):
                 data = np.frombuffer(b, np.uint8)
                 at = np.arange(len(data) - length + 1)
@@ -348,9 +348,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     @F.arrow_udf("kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
     def cut(zs: pa.Array, spans: pa.Array) -> pa.Array:
         kept, sizes, runs = [], [], []
-        for z, found in zip(zs.to_pylist(), spans.to_pylist()):
-            b = _unsqueeze(z)
-            gone = merge([(s["start"], s["stop"]) for s in found or ()])
+        for z, found in zip(zs, spans):
+            b = _unsqueeze(z.as_py())
+            gone = merge([(s["start"], s["stop"]) for s in found.as_py() or ()])
             edges = [0, *(x for s in gone for x in s), len(b)]
             kept.append(b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2])))
             sizes.append(len(b))
@@ -368,4 +368,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 @F.arrow_udf(StringType())
 def as_text(kept: pa.Array) -> pa.Array:
     """Bytes that stay, as text; parts of a character that was cut go too."""
-    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+    return pa.array([None if (b := x.as_py()) is None else b.decode("utf-8", "ignore") for x in kept], pa.string())
