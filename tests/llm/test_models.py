@@ -21,7 +21,7 @@ STRANGE = "abcdefgh éßñ中文日本語😀\t\n  12345!?.,'s ÀÉ́ \x00\r\x1c
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -33,38 +33,38 @@ def own():
     return Codec(RANKS, P.PATTERN, most_cached=50)
 
 
-def test_bpe_equals_the_library(own, reference, texts):
+def test_bpe_equals_the_library(own, library, texts):
     rng = random.Random(1)
     strange = ["".join(rng.choice(STRANGE) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     for t in [*strange, *(t or "" for t in texts), "a" * 5000]:
         ids = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
         assert own.decode(ids) == t.encode()
 
 
-def test_bpe_append_and_edit(own, reference):
+def test_bpe_append_and_edit(own, library):
     rng, v = random.Random(2), own.vocabulary
     for _ in range(100):
         x = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(0, 200)))
         p, k = Prefixes(v), rng.randint(0, len(x))
         p.append(x[:k].encode())
         p.append(x[k:].encode())
-        assert p.encode() == reference.encode_ordinary(x) and p.encode(k) == reference.encode_ordinary(x[:k])
+        assert p.encode() == library.encode_ordinary(x) and p.encode(k) == library.encode_ordinary(x[:k])
         i = rng.randint(0, len(x))
         j, new = rng.randint(i, min(len(x), i + 4)), "xyz"[: rng.randint(0, 3)]
         p.replace(i, j, new.encode())
         y = x[:i] + new + x[j:]
-        assert p.last == Prefixes(v, y.encode()).last and p.encode() == reference.encode_ordinary(y)
+        assert p.last == Prefixes(v, y.encode()).last and p.encode() == library.encode_ordinary(y)
     p = Prefixes(v, b"some longer text for the edit " * 300)
     assert p.replace(4000, 4001, b"Q") < 500  # only near the edit
 
 
-def test_bpe_query(docs, reference):
+def test_bpe_query(docs, library):
     got = bpe_encode(docs, RANKS, P.PATTERN).collect()
     assert len(got) == docs.count()
     want = Counter()
     for r in docs.collect():
-        ids = np.array(reference.encode_ordinary(r["text"] or ""), "<u4").tobytes()
+        ids = np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes()
         want[r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
     assert bpe_encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
