@@ -136,33 +136,98 @@ def _inversions(values: list) -> int:
     return merge(values)[1]
 
 
-def kendall_p(x: list[float], y: list[float]) -> float:
-    """p-value of Kendall's tau-b: exact for up to 33 rows without ties (or with few
-    discordant pairs), else by the normal limit with ties; 1 if a side is constant."""
-    n = len(x)
-    pairs = sorted(zip(x, y))
-    total = n * (n - 1) // 2
+@dataclass(frozen=True)
+class Ties:
+    """Over the sizes c of groups of equal values: sums of c(c-1)/2, c(c-1)(c-2), c(c-1)(2c+5)."""
 
-    def ties(values: list) -> tuple[int, int, int]:
-        sizes = [len(list(g)) for _, g in groupby(sorted(values))]
-        return sum(c * (c - 1) // 2 for c in sizes), sum(c * (c - 1) * (c - 2) for c in sizes), sum(c * (c - 1) * (2 * c + 5) for c in sizes)
+    pairs: int
+    triples: int
+    spread: int
 
-    discordant = _inversions([b for _, b in pairs])
-    (tx, x0, x1), (ty, y0, y1), (both, _, _) = ties(x), ties(y), ties(pairs)
-    if n < 2 or tx == total or ty == total:
+    @staticmethod
+    def of(sizes: list[int]) -> "Ties":
+        return Ties(sum(c * (c - 1) // 2 for c in sizes), sum(c * (c - 1) * (c - 2) for c in sizes), sum(c * (c - 1) * (2 * c + 5) for c in sizes))
+
+
+def kendall_from_counts(n: int, discordant: int, x: Ties, y: Ties, both: int) -> float:
+    """p-value of Kendall's tau-b: exact for up to 33 rows without ties (or with few
+    discordant pairs), else by the normal limit with ties; 1 if a side is constant. both:
+    pairs that are equal in both."""
+    total = n * (n - 1) // 2
+    if n < 2 or x.pairs == total or y.pairs == total:
         return 1.0
-    if not tx and not ty and (n <= 33 or min(discordant, total - discordant) <= 1):
+    if not x.pairs and not y.pairs and (n <= 33 or min(discordant, total - discordant) <= 1):
         return _exact_kendall(n, discordant)
-    score = total - tx - ty + both - 2 * discordant
+    score = total - x.pairs - y.pairs + both - 2 * discordant
     m = n * (n - 1.0)
-    var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + (x0 * y0 / (9 * m * (n - 2)) if n > 2 else 0)
+    var = (m * (2 * n + 5) - x.spread - y.spread) / 18 + 2 * x.pairs * y.pairs / m + (x.triples * y.triples / (9 * m * (n - 2)) if n > 2 else 0)
     return math.erfc(abs(score) / math.sqrt(var) / math.sqrt(2)) if var > 0 else 1.0
 
 
-def kendall_p_values(df: DataFrame, features: list[str], target: str) -> dict[str, float]:
-    """Kendall's test of each feature against a target of any number of values; features are
-    spread over the tasks, each sorting its own column."""
+def kendall_p(x: list[float], y: list[float]) -> float:
+    """Kendall's test of two columns that fit into one task."""
+    sizes = lambda values: [len(list(g)) for _, g in groupby(sorted(values))]
+    pairs = sorted(zip(x, y))
+    return kendall_from_counts(len(pairs), _inversions([b for _, b in pairs]), Ties.of(sizes(x)), Ties.of(sizes(y)), Ties.of(sizes(pairs)).pairs)
+
+
+def _tie_sums(long: DataFrame, columns: list[str]) -> dict[str, Ties]:
+    c = F.col("count")
+    sums = long.groupBy("_feature", *columns).count().where("count > 1").groupBy("_feature").agg(F.sum(c * (c - 1)).alias("p"), F.sum((c * (c - 1) * (c - 2)).cast("decimal(38,0)")).alias("t"), F.sum((c * (c - 1) * (2 * c + 5)).cast("decimal(38,0)")).alias("s"))
+    return {r["_feature"]: Ties(r["p"] // 2, int(r["t"]), int(r["s"])) for r in sums.collect()}
+
+
+def _discordant(long: DataFrame, blocks: int) -> dict[str, int]:
+    """Discordant pairs of each feature. Both sides are cut into blocks of values. Pairs in
+    different blocks on both sides are counted from the table of block sizes; pairs in the
+    same block of x in a task for that block, and those in different blocks of x but the
+    same of y in a task for that. Blocks of a single value have none and are left out, so
+    a hot value goes to no task."""
+    share = [k / blocks for k in range(1, blocks)]
+    edges = long.groupBy("_feature").agg(F.percentile_approx("_x", share).alias("_ex"), F.percentile_approx("_y", share).alias("_ey"))
+    block = lambda v, e: F.size(F.filter(e, lambda b: b < F.col(v)))
+    rows = long.join(F.broadcast(edges), "_feature")  # 2 * blocks numbers for each feature
+    rows = rows.select("_feature", "_x", "_y", block("_x", "_ex").alias("_bx"), block("_y", "_ey").alias("_by"))
+    table: dict[str, dict[int, dict[int, int]]] = {}
+    for r in rows.groupBy("_feature", "_bx", "_by").count().collect():
+        table.setdefault(r["_feature"], {}).setdefault(r["_bx"], {})[r["_by"]] = r["count"]
+    out = {}
+    for name, by_x in table.items():
+        above, total = [0] * (blocks + 1), 0  # above: of earlier blocks of x, by block of y
+        for bx in sorted(by_x):
+            total += sum(n * sum(above[by + 1 :]) for by, n in by_x[bx].items())
+            for by, n in by_x[bx].items():
+                above[by] += n
+        out[name] = total
+
+    def inside(by: str, of: str, order: list[str]) -> None:
+        several = rows.groupBy("_feature", by).agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").select("_feature", by)
+
+        def count(t):
+            import pyarrow as pa
+
+            found = _inversions([y for _, y in sorted(zip(t[order[0]].to_pylist(), t["_y"].to_pylist()))])
+            return pa.table({"_feature": t["_feature"][:1], "n": pa.array([found], pa.int64())})
+
+        counts = rows.join(several, ["_feature", by]).groupBy("_feature", by).applyInArrow(count, "_feature string, n long")
+        for r in counts.groupBy("_feature").agg(F.sum("n").alias("n")).collect():
+            out[r["_feature"]] += r["n"]
+
+    inside("_bx", "_x", ["_x"])
+    inside("_by", "_y", ["_bx"])
+    return out
+
+
+def kendall_p_values(df: DataFrame, features: list[str], target: str, rows_in_task: int = 100_000) -> dict[str, float]:
+    """Kendall's test of each feature against a target of any number of values. Up to
+    rows_in_task rows a feature is a task's work; beyond, it is cut into blocks."""
     long = df.select(F.col(f"`{target}`").cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).unpivot("_y", features, "_feature", "_x")
+    n = df.count()
+    if n > rows_in_task:
+        discordant = _discordant(long, min(256, -(-n // rows_in_task) + 1))
+        none = Ties(0, 0, 0)
+        x, y, both = (_tie_sums(long, c) for c in (["_x"], ["_y"], ["_x", "_y"]))
+        return {c: kendall_from_counts(n, discordant.get(c, 0), x.get(c, none), y.get(c, none), both.get(c, none).pairs) for c in features}
 
     def test(table):
         import pyarrow as pa

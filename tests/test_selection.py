@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from chronoloom.operators.selection import _inversions, benjamini_hochberg, kendall_p, select_features, t_test_p
+from chronoloom.operators.selection import _inversions, benjamini_hochberg, kendall_p, kendall_p_values, select_features, t_test_p
 
 
 def test_t_p_values():
@@ -61,3 +61,14 @@ def test_selection(table):
     s = select_features(table, FEATURES, "z")
     assert s.kept == ["drift"] and s.p_values["drift"] < 1e-6
     assert select_features(table, ["const"], "y").kept == []
+
+
+def test_kendall_in_blocks_equals_one_task(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    y = rng.integers(0, 30, n)
+    hot = np.where(rng.random(n) < 0.5, 3, rng.integers(0, 9, n))  # a value that half of the rows have
+    rows = zip(y.tolist(), (y + rng.normal(0, 30, n)).tolist(), hot.tolist(), rng.normal(size=n).tolist())
+    df = spark.createDataFrame(list(rows), "y long, a double, hot long, c double")
+    whole, cut = (kendall_p_values(df, ["a", "hot", "c"], "y", k) for k in (10**6, 60))
+    assert cut == pytest.approx(whole, rel=1e-12)
