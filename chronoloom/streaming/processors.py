@@ -27,22 +27,33 @@ def _take(parts: Iterator[pd.DataFrame], last: int, late: str) -> tuple[np.ndarr
     return new["v"].to_numpy(np.float64), int(new["pos"].max()) if len(new) else last
 
 
-def expanding_stream(stream: DataFrame, names: list[str], textbook: bool = False, late: str = "drop") -> DataFrame:
+#: Features of the spectrum, which a stream may leave as they were for a while.
+SPECTRAL = ("spectral_centroid", "spectral_distance", "spectral_decrease", "spectral_slope", "human_range_energy", "fft_coeff", "spectrogram", "autocorrelation")
+
+
+def expanding_stream(stream: DataFrame, names: list[str], textbook: bool = False, late: str = "drop", fft_update_period: int = 1) -> DataFrame:
     """After each micro-batch, for each series in it: series_id, n_points and the features of
-    all its points so far. The whole history is kept, as order statistics need it."""
+    all its points so far. The whole history is kept, as order statistics need it.
+    fft_update_period: features of the spectrum are computed again only when so many points
+    have come since."""
     specs = parse_all(names)
+    slow = [s for s in specs if s.kind in SPECTRAL]
     schema = "series_id string, n_points long, " + ", ".join(f"`{s.name}` double" for s in specs)
 
     def update(key, parts, state):
-        last, held = state.get if state.exists else (-1, b"")
+        last, held, fft_points, fft = state.get if state.exists else (-1, b"", 0, b"")
         values, last = _take(parts, last, late)
         held += values.tobytes()
-        state.update((last, held))
+        x = np.frombuffer(held, np.float64)
+        if len(values) and (not fft_points or len(x) - fft_points >= fft_update_period):
+            fft_points, fft = len(x), np.array(compute(x, slow, EXPANDING, textbook)).tobytes()
+        state.update((last, held, fft_points, fft))
         if len(values):
-            x = np.frombuffer(held, np.float64)
-            yield pd.DataFrame([(key[0], len(x), *compute(x, specs, EXPANDING, textbook))], columns=["series_id", "n_points", *(s.name for s in specs)])
+            known = dict(zip([s.name for s in slow], np.frombuffer(fft, np.float64)))
+            known |= dict(zip([s.name for s in specs if s not in slow], compute(x, [s for s in specs if s not in slow], EXPANDING, textbook)))
+            yield pd.DataFrame([(key[0], len(x), *(float(known[s.name]) for s in specs))], columns=["series_id", "n_points", *(s.name for s in specs)])
 
-    return stream.groupBy(SERIES).applyInPandasWithState(update, schema, "last long, held binary", "append", "NoTimeout")
+    return stream.groupBy(SERIES).applyInPandasWithState(update, schema, "last long, held binary, fft_points long, fft binary", "append", "NoTimeout")
 
 
 def sliding_stream(stream: DataFrame, names: list[str], window: int, stride: int = 1, textbook: bool = False, late: str = "drop") -> DataFrame:

@@ -43,6 +43,16 @@ def test_expanding(spark, parts):
         assert [r[s.name] for s in specs] == pytest.approx(compute(series[r["series_id"]][: r["n_points"]], specs, "expanding"))
 
 
+def test_spectra_may_wait(spark, parts):
+    series, path, state = parts
+    rows = run(spark, expanding_stream(source(spark, path), ["mean", "spectral_centroid"], fft_update_period=10), "waited", state)
+    specs = parse_all(["spectral_centroid"])
+    seen = 0  # files come in order, with 7, 2 and 21 points
+    for r in sorted((r for r in rows if r["series_id"] == "a"), key=lambda r: r["n_points"]):
+        seen = r["n_points"] if not seen or r["n_points"] - seen >= 10 else seen
+        assert r["spectral_centroid"] == pytest.approx(compute(series["a"][:seen], specs, "expanding")[0])
+
+
 @pytest.mark.parametrize("window,stride", [(8, 3), (4, 6)])
 def test_sliding(spark, parts, window, stride):
     series, path, state = parts
