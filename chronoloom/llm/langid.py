@@ -112,9 +112,9 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs and lang_pred, lang_score, by their whole text. Null texts and texts without a
-    letter: und, 0. Clashing columns of docs give way."""
+    letter: und, 0. Columns of docs with these names, or _p, give way."""
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop("lang_pred", "lang_score", "_p")
     model = spark.sparkContext.broadcast(profiles)  # size numbers for each language
 
     @F.arrow_udf("lang_pred string, lang_score double")

@@ -61,7 +61,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their bitmap applied: text_col without the dropped lines, plus n_lines and
-    n_dropped. Null text stays null and counts as one line."""
+    n_dropped. Null text stays null and counts as one line. Columns of docs with these names,
+    or with those used inside (_row, _key, _id, _drops), give way."""
+    docs = docs.drop("n_lines", "n_dropped", "_row", "_key", "_id", "_drops")
     marks = bitmaps.select(F.col("row_key").alias("_key"), F.col("id").alias("_id"), F.col("drops").alias("_drops"))
     left = docs.withColumn("_row", row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
     both = left.join(marks.hint("shuffle_hash"), (F.col("_row") == F.col("_key")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")), "left")

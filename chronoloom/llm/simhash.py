@@ -251,7 +251,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id."""
+    """docs with one row of each component: that of the smallest id. A column _kept gives way."""
+    docs = docs.drop("_kept")
     ids = simhash_components(docs, id_col, text_col, words, distance)
     kept = ids.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")

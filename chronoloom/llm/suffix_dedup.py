@@ -332,7 +332,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024) -> DataFrame:
     """docs and kept (binary: the UTF-8 bytes that stay), n_bytes, spans (start, stop of each
-    maximal run that was removed). Clashing columns of docs give way.
+    maximal run that was removed). Columns of docs with these names, or with those used
+    inside (_key, _z, _m_key, _m_id, _spans, _c), give way.
 
     - Null text is empty: nothing is removed. Texts shorter than length lose nothing.
     - Strings are judged on the input: all places of a repeated string go, those in the same
@@ -340,7 +341,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     - Rows with the same id and different texts are separate; a null id is like any other.
     - An empty table gives an empty result.
     """
-    docs = docs.drop("kept", "n_bytes", "spans")
+    docs = docs.drop("kept", "n_bytes", "spans", "_key", "_z", "_m_key", "_m_id", "_spans", "_c")
     marks = written(repeated_spans(docs, id_col, text_col, length, most), "removed-spans").select(F.col("key").alias("_m_key"), F.col("id").alias("_m_id"), F.col("spans").alias("_spans"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{id_col}`").cast("long")

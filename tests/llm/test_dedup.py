@@ -183,3 +183,12 @@ def test_all_rows_alike(spark):
     assert simhash_components(df).select("component_id").distinct().collect() == [(0,)]
     assert suffix_dedup(df).where("length(kept) > 0").count() == 0
     assert line_dedup(df).where("n_dropped = 1").count() == 500
+
+
+def test_columns_with_names_used_inside(spark):
+    extra = ["n_lines", "n_dropped", "_row", "_key", "_id", "_drops", "kept", "spans", "_z", "_spans", "_kept", "key", "region"]
+    df = spark.createDataFrame([(i, f"some words {i}\nline", *[1] * len(extra)) for i in range(12)], ["doc_id", "text", *extra])
+    assert line_dedup(df).where("n_dropped = 1").count() == 12
+    assert suffix_dedup(df).where("size(spans) = 0").count() == 12
+    assert keep_one(df).count() == simhash_components(df).select("component_id").distinct().count()
+    assert exact_dedup(df).where("kept").count() == 12
