@@ -9,6 +9,7 @@ reader parses the archives by Content-Length.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -75,13 +76,16 @@ def records(pages: DataFrame, resolved: DataFrame, id_col: str = "page_id", url_
     return both.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(recs: DataFrame, path: str, per_file: int = 2000) -> None:
-    """Archives of at most per_file records below path; each record is closed by two line ends."""
-    recs.write.option("lineSep", 2 * END).option("maxRecordsPerFile", per_file).text(path)
+def write_archives(recs: DataFrame, path: str, per_file: int = 2000, compression: str = "gzip") -> None:
+    """Archives of at most per_file records below path; each record is closed by two line ends.
+    compression: gzip over each whole archive, or none."""
+    recs.write.option("lineSep", 2 * END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive."""
+    """(headers by lower-case name, block) of each record of an archive, compressed or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
