@@ -33,34 +33,36 @@ class Shard:
         np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(x, order, axis=0)
 
-    def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(positions, scores, depth read) of the k best, ties to the smaller id; own: positions
-        that take no part."""
-        n, used = self.n, np.flatnonzero(q)
-        q = q[used]
-        # candidate's place from the end that is read first
-        place = np.where(q > 0, n - 1 - self.place[:, used], self.place[:, used])
-        products = self.x[:, used] * q
-        at = lambda depth: q * np.where(q > 0, self.sorted[n - 1 - depth, used], self.sorted[depth, used])
-        worst = at(n - 1)
-        alive, depth = np.ones(n, bool), min(n, max(k, n // 16))
-        alive[own] = False
-        rows = np.flatnonzero(alive)
-        while len(rows) > k:
-            read = place[rows] < depth
-            known = np.where(read, products[rows], 0.0).sum(1)
-            lower = known + np.where(read, 0.0, worst).sum(1)
-            if depth >= n:
-                break
-            upper = known + np.where(read, 0.0, at(depth)).sum(1)
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-            rows = rows[upper >= floor]
-            if len(rows) <= 4 * k:
-                break
+    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(positions, scores, depth read) of the k best for each query, ties to the smaller id;
+        own: positions that take no part, for each query.
+
+        All queries of a block read in step. Which candidates a list has given by some depth
+        depends on the end that is read from only, so the sums and bounds of all queries are
+        products of a few matrices."""
+        n, up, down = self.n, np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        depth, done, out = max(1, n // 4), np.zeros(len(queries), bool), [None] * len(queries)
+        while not done.all():
+            left = np.flatnonzero(~done)
+            u, d = up[:, left], down[:, left]
+            top, bottom = (self.place >= n - depth).astype(np.float64), (self.place < depth).astype(np.float64)
+            known = (self.x * top) @ u + (self.x * bottom) @ d
+            # what isn't read: at best the frontier's product, at worst that of the other end
+            lower = known + (1 - top) @ (self.sorted[0][:, None] * u) + (1 - bottom) @ (self.sorted[-1][:, None] * d)
+            upper = known + (1 - top) @ (self.sorted[max(0, n - 1 - depth)][:, None] * u) + (1 - bottom) @ (self.sorted[min(n - 1, depth)][:, None] * d)
+            for c, i in enumerate(left):
+                lower[own[i], c] = upper[own[i], c] = -np.inf
+            floor = np.partition(np.ascontiguousarray(lower.T), n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
+            alive = upper >= np.maximum(floor, np.finfo(float).min)
+            few = (alive.sum(0) <= 8 * k) | (depth >= n)
+            for c in np.flatnonzero(few):
+                i, rows = left[c], np.flatnonzero(alive[:, c])
+                scores = self.x[rows] @ queries[i]  # final scores of those left
+                best = np.lexsort((self.ids[rows], -scores))[:k]
+                out[i] = (rows[best], scores[best], min(depth, n))
+            done[left[few]] = True
             depth = min(n, 2 * depth)
-        scores = products[rows].sum(1)  # final scores of those left
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[best], scores[best], depth
+        return out
 
 
 def as_integers(vector: Column, factor: int = 64) -> Column:
@@ -115,9 +117,9 @@ def nra_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
                 q_ids = get("q_ids")
                 out: list[tuple] = []
                 by_id = np.argsort(ids)
-                for q_id, q in zip(q_ids, get("q_x").reshape(len(q_ids), dim).astype(np.float64)):
-                    lo, hi = np.searchsorted(ids[by_id], [q_id, q_id + 1])
-                    at, scores, depth = shard.search(q, k, by_id[lo:hi])
+                lo, hi = np.searchsorted(ids[by_id], q_ids), np.searchsorted(ids[by_id], q_ids, "right")
+                found = shard.search(get("q_x").reshape(len(q_ids), dim).astype(np.float64), k, [by_id[a:b] for a, b in zip(lo, hi)])
+                for q_id, (at, scores, depth) in zip(q_ids, found):
                     out += [(q_id, i, s, depth) for i, s in zip(ids[at], scores)]
                 cols = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], ["query_id", "id", "score", "depth"])
