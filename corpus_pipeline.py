@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import langid, line_dedup, packing, simhash, suffix_dedup
+from chronoloom.llm import langid, line_dedup, packing, suffix_dedup
+from chronoloom.llm import near_dedup as near
 from chronoloom.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,9 +35,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints stays: 3-word shingles, 3 bits, as in
-    the operator's contract."""
-    return simhash.keep_one(docs.select(*COLUMNS), words=3, distance=3).select(*COLUMNS)
+    """One document of each component stays: documents are linked if the Jaccard similarity of
+    their 5-word shingles is 0.8 or more."""
+    return near.keep_near_one(docs.select(*COLUMNS), words=5, similarity=0.8).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
