@@ -29,12 +29,18 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def _n_keys(text: Column, min_chars: int) -> Column:
+    return F.size(F.filter(_lines(text), lambda line: F.char_length(F.btrim(line, F.lit(WHITE))) >= min_chars))
+
+
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare: bool = False) -> DataFrame:
     """Per document that loses lines: id, row_key, drops (map of word number to 64 bits; a
     set bit is a line that goes).
 
     Keys of at least min_chars code points found in at least min_docs documents lose all
-    their lines; with keep_first, the first line in order of (document, position) stays.
+    their lines; with keep_first, the first line in order of (document, position) stays. With
+    spare, documents that would lose every such key keep the lines that are first among these
+    documents, so that copies of one text don't all end empty.
 
     - Null or empty text: one empty line, whose key is too short to go.
     - Rows with the same id are one document in the count. A row without id is a document.
@@ -42,9 +48,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     - An empty table gives an empty result; other columns are ignored.
     """
     base = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = base.select("id", row_key("id", "text").alias("row_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("id", "row_key", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), F.coalesce("id", "row_key").alias("doc"), "pos", "id", "row_key")
+    lines = base.select("id", row_key("id", "text").alias("row_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"), *([_n_keys(F.col("text"), min_chars).alias("n")] if spare else []))
+    extra = ["n"] if spare else []
+    lines = lines.select("id", "row_key", "pos", line_key(F.col("line")).alias("key"), *extra).where(F.char_length("key") >= min_chars)
+    lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), F.coalesce("id", "row_key").alias("doc"), "pos", "id", "row_key", *extra)
     lines = written(lines, "line-hashes")
 
     ordered = lines.select("h1", "h2", "doc", "pos").repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
@@ -55,7 +62,19 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     going = lines.join(hashes, ["h1", "h2"])
     if keep_first:
         going = going.where(F.struct("doc", "pos") != F.col("first"))
-    words = going.groupBy("row_key", "id", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("bits"))
+    bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64), (F.col("pos") / 64).cast("int").alias("word")
+    words = going.groupBy("row_key", "id", word).agg(F.bit_or(bit).alias("bits"), *([F.max("n").alias("n")] if spare else []))
+    if spare:
+        words = written(words, "line-words")
+        emptied = words.groupBy("row_key", "id").agg(F.sum(F.bit_count("bits")).alias("gone"), F.max("n").alias("n")).where("gone = n")
+        emptied = emptied.select(F.col("row_key").alias("e_key"), F.col("id").alias("e_id"))
+        among = going.join(written(emptied, "emptied"), (F.col("row_key") == F.col("e_key")) & F.col("id").eqNullSafe(F.col("e_id")), "left_semi")
+        firsts = among.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "row_key", "id")).alias("first")).select("first.*")
+        # a row of words and its row of spared bits meet in a group, so that null ids need no join
+        spared = firsts.groupBy("row_key", "id", word).agg(F.bit_or(bit).alias("spared"))
+        none = F.lit(0).cast("long")
+        both = words.select("row_key", "id", "word", "bits", none.alias("spared")).union(spared.select("row_key", "id", "word", none, "spared"))
+        words = both.groupBy("row_key", "id", "word").agg(F.bit_or("bits").bitwiseAND(F.bitwise_not(F.bit_or("spared"))).alias("bits")).where("bits <> 0")
     return words.groupBy("row_key", "id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("drops"))
 
 
@@ -75,6 +94,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     return both.select(*[F.col(f"`{c}`") for c in names], kept.alias(text_col), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare: bool = False) -> DataFrame:
     """docs with common lines removed; see line_bitmaps() and apply_bitmaps()."""
-    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first), id_col, text_col)
+    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first, spare), id_col, text_col)

@@ -30,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: fl
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; documents stay."""
-    return _with_text(line_dedup.line_dedup(docs.select(*COLUMNS), min_docs=10, min_chars=1))
+    """Lines found in ten documents or more go; documents stay. Of documents that would be
+    left without a line, each line stays once."""
+    return _with_text(line_dedup.line_dedup(docs.select(*COLUMNS), min_docs=10, min_chars=1, spare=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
