@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import only, row_key, slices, written
 from .components import stars
-from .simhash import fingerprint, link_fingerprints
+from .simhash import fingerprint, link_fingerprints, one_of_each
 
 BANDS, HASHES = 40, 6
 _random = np.random.default_rng(20)
@@ -167,8 +167,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_near_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. A column _kept gives way."""
-    docs = docs.drop("_kept")
-    placed = near_components(docs, id_col, text_col, words, similarity)
-    kept = placed.groupBy("component").agg(F.min("id").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one row of each component, as by simhash.one_of_each()."""
+    return one_of_each(docs, near_components(docs, id_col, text_col, words, similarity), id_col, text_col)

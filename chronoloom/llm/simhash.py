@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, written
+from .common import only, row_key, slices, written
 from .components import stars
 
 #: The generator polynomial of the [23,12,7] code, x^11+x^10+x^6+x^5+x^4+x^2+1 (fixed value).
@@ -56,16 +56,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) per row, fp a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, with_key: bool = False) -> DataFrame:
+    """(id, fp) per row, fp a signed 64-bit integer; with_key also row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, fp long")
+    if with_key:
+        given = given.withColumn("row_key", row_key("id", "text"))
+    return given.mapInArrow(run, "id long, fp long" + (", row_key long" if with_key else ""))
 
 
 class Golay:
@@ -241,18 +243,37 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     - An empty table gives an empty result; other columns are ignored.
     """
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    return rows.join(_components(rows, distance, most), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, distance: int, most: int) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of rows (id, fp); root is never null."""
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = written(stars(link_fingerprints(nodes.select("fp"), distance, most)), "roots")
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     placed = written(placed, "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(placed.select("fp", "root").join(written(least, "least"), "root").select("fp", "component_id"), "components")
-    return rows.join(ids, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return written(placed.select("fp", "root").join(written(least, "least"), "root").select("fp", "root", "component_id"), "components")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. A column _kept gives way."""
-    docs = docs.drop("_kept")
-    ids = simhash_components(docs, id_col, text_col, words, distance)
-    kept = ids.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one row of each component, as by one_of_each()."""
+    rows = written(fingerprints(docs, id_col, text_col, words, with_key=True), "fingerprints")
+    placed = rows.join(_components(rows, distance, 4096), "fp").select("id", "row_key", F.col("root").alias("component"))
+    return one_of_each(docs, placed, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of placed (id, row_key, component for each row):
+    that of the smallest id, then of the smallest row_key; null ids come last. Of rows equal in
+    id and text one stays. Columns _kept, _kept_row and _row give way."""
+    docs = docs.drop("_kept", "_kept_row", "_row")
+    rows = placed.groupBy("component", "id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key", "times")).alias("best"))
+    kept = written(best.select(F.col("best.id").alias("_kept"), F.col("best.row_key").alias("_kept_row"), F.col("best.times").alias("times")), "kept")
+    own = F.col(f"`{id_col}`").cast("long")
+    left = docs.withColumn("_row", row_key(own, F.col(f"`{text_col}`").cast("string")))
+    out = left.join(kept.hint("shuffle_hash"), (F.col("_row") == F.col("_kept_row")) & own.eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.where("times > 1").limit(1).count():
+        out = out.dropDuplicates(["_row", id_col])
+    return out.drop("_row")

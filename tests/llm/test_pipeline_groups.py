@@ -7,6 +7,7 @@ from conftest import words
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as pipeline  # noqa: E402
+from chronoloom.llm.simhash import keep_one  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +25,17 @@ def test_one_of_many_copies_stays(spark):
     assert sorted(got.values()) == sorted(["", copied, other, *(t.split("\n")[0] for t in texts[23:])])
     packed = pipeline.pack(spark, docs, "").collect()
     assert sum(r["length"] for r in packed if r["doc_id"] == 0) > 1000
+
+
+def test_one_row_of_repeated_rows_and_ids(spark):
+    rng = random.Random(6)
+    repeated, second, nulls = words(rng, 120), words(rng, 120), [words(rng, 120) for _ in range(3)]
+    rows = [(1, repeated), (1, repeated), (1, second), (0, second), *((None, t) for t in nulls), (None, nulls[0])]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    want = sorted([(1, repeated), (0, second), *((-1, t) for t in nulls)])
+    for kept in (keep_one(docs), pipeline.near_dedup(spark, docs, "")):
+        assert kept.columns == docs.columns
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect()) == want
+    # a repeated row isn't emptied by the stage after
+    cut = pipeline.drop_repeated_passages(spark, pipeline.near_dedup(spark, docs, "").localCheckpoint(), "")
+    assert repeated in {r["text"] for r in cut.collect()}
