@@ -80,10 +80,27 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
-    """Arrow batches in parts of few rows, so that little is held as Python objects at a time."""
+    """Arrow batches in parts of few rows, so that little is held as Python objects at a time.
+    At the end of the task the worker, which stays for others, gives back what it has freed."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the allocators would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class TextCache(dict):

@@ -4,18 +4,24 @@
    leftmost with the smallest hash. Neighbouring windows with the same minimizer are one
    region. Equal windows have equal minimizers at equal places, wherever they stand, so
    windows need only be compared within a minimizer. A region is a row of hashes.
-2. Minimizers that occur once are done, and so are those of which all regions are equal.
-   Of the others, each different region is fetched once from the texts.
+2. Minimizers that occur once are done. Of the others, each different region is fetched
+   from the texts: two of its places, or the only one.
 3. Batches of whole minimizers get a suffix order, as deep as ``length``, and a
    Burrows-Wheeler transform. Breadth-first backward extension, from the empty string,
    sets common-prefix values in increasing order: the interval of cw, found from that
    of w, gives the value |w| to the boundary behind it, unless that has one. It stops at
    ``length``: boundaries without a value are between suffixes that share that much.
-4. A minimizer with more than ``most`` different regions isn't put into one batch: its
-   windows are counted by their hashes instead, which is exact in the same way.
+4. A minimizer with more than ``most`` different regions is cut up first: windows in which
+   it stands at neighbouring offsets are a part of their region, equal parts become one,
+   and parts are compared within those that have the same bytes in all their windows. Where
+   that still is too much, offsets are divided further, at last to single windows. Spans of
+   parts go back to their regions.
 5. The spans found go back to all places of their regions and are cut out of the texts.
 
-Rows are told apart by (row key, id); hashes that identify content have 128 bits.
+In a batch the bytes of a region's two places are compared and it stands in the transform
+once, with a weight of 2: each of its windows is repeated, and so is any other that shares
+its boundary. Hashes only tell which further places hold the same region: 128 bits beside
+the minimizer's 64. Rows are told apart by (row key, id).
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -84,11 +90,11 @@ def _sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, start, stop, minimizer's hash, region's hash) of each region of joined texts;
-    a region's windows start at start, ..., stop - length. docs: where each text begins, and
-    the end of the last."""
+    """(document, start, stop, minimizer's hash, two hashes of the region) of each region of joined
+    texts; a region's windows start at start, ..., stop - length. docs: where each text begins,
+    and the end of the last."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     h = Hashes(data, _SLAB + 8 * length)
     at = np.arange(len(data) - GRAM + 1)
     grams = h.of(0, at, at + GRAM)
@@ -103,7 +109,24 @@ def regions(data: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray
     joined[1:n] = sound[1:] & sound[:-1] & (least[1:] == least[:-1])
     starts = np.flatnonzero(sound & ~joined[:n])
     stops = np.flatnonzero(sound & ~joined[1:]) + length
-    return np.searchsorted(docs, starts, "right") - 1, starts, stops, grams[least[starts].astype(np.int64)], h.of(1, starts, stops)
+    return np.searchsorted(docs, starts, "right") - 1, starts, stops, grams[least[starts].astype(np.int64)], h.of(1, starts, stops), h.of(0, starts, stops)
+
+
+def parts(data: np.ndarray, own: int, length: int, block: int) -> tuple[np.ndarray, ...]:
+    """(start, stop, key, two hashes) of each part of a region with the key `own`: its windows that
+    have the minimizer at an offset in the same block of offsets. All windows of a part hold
+    the bytes around the minimizer that make its key."""
+    h, w = Hashes(data, _SLAB + 8 * length), length - GRAM + 1
+    at = np.arange(w)
+    place = int((h.of(0, at, at + GRAM) & ~_LOW | at.astype(np.uint64)).argmin())
+    n = len(data) - length + 1
+    blocks = (place - np.arange(n)) // block
+    cuts = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+    starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]]) - 1 + length
+    k = blocks[starts]
+    core = h.of(1, place - k * block, place - k * block - block + 1 + length)
+    key = _mix(_mix(np.full(len(k), own, np.int64).view(np.uint64)) + core) + k.astype(np.uint64)
+    return starts, stops, key, h.of(1, starts, stops), h.of(0, starts, stops)
 
 
 def _slabs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -248,91 +271,148 @@ def _unsqueeze(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
+_NAMES = ["gram", "region", "more", "copy", "bytes"]
+_SAME = ["gram", "region", "more"]
+_SPANS = "array<struct<start:long,stop:long>>"
+#: Sizes of the blocks of offsets by which large minimizers are cut up.
+_BLOCKS = (64, 16, 4, 1)
+
+
+def _compared(items: DataFrame, length: int) -> DataFrame:
+    """(gram, region, more, spans): where windows occur more than once within a minimizer. items:
+    the bytes of each different region, those of two places where it has several. A
+    minimizer's items are few enough for one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, bytes]] = []
+        twice: set[int] = set()
+        size = 0
+
+        def solve() -> pa.RecordBatch:
+            out = []
+            for k, (x, w) in enumerate(zip(held, repeated_windows([x[4] for x in held], length))):
+                runs = [(0, len(x[4]))] if k in twice else _runs(w, length)
+                if runs and not x[3]:
+                    out.append((*x[:3], [{"start": a, "stop": b} for a, b in runs]))
+            types = [*[pa.int64()] * 3, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], [*_SAME, "spans"])
+
+        for batch in slices(batches, 2048):
+            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
+                if size >= _SLAB and row[0] != held[-1][0]:  # whole minimizers
+                    yield solve()
+                    held.clear()
+                    twice.clear()
+                    size = 0
+                if held and held[-1][:3] == row[:3] and held[-1][4] == row[4]:
+                    if row[3] != held[-1][3]:  # else a repeated row's, fetched twice
+                        twice.add(len(held) - 1)
+                    continue
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield solve()
+
+    return items.select(*_NAMES).repartition("gram").sortWithinPartitions("gram", "region", "more", "copy").mapInArrow(run, f"gram long, region long, more long, spans {_SPANS}")
+
+
+def _compared_in_parts(items: DataFrame, length: int, most: int, level: int = 0) -> DataFrame:
+    """The same for minimizers with any number of items."""
+    out = "key long, part long, also long, at long, gram long, region long, more long, copy int, bytes binary"
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for gram, region, more, copy, b in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
+                starts, stops, key, part, also = parts(np.frombuffer(b, np.uint8), gram, length, _BLOCKS[level])
+                rows = [pa.array([x] * len(starts), t) for x, t in ((gram, pa.int64()), (region, pa.int64()), (more, pa.int64()), (copy, pa.int32()))]
+                hashes = [pa.array(x.view(np.int64)) for x in (key, part, also)]
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(starts), *rows, pa.array([b[i:j] for i, j in zip(starts.tolist(), stops.tolist())], pa.binary())], names)
+
+    same = ["key", "part", "also"]
+    links = written(items.select(*_NAMES).mapInArrow(cut, out), "parts")
+    row = F.struct("gram", "region", "more", "copy", "at", "bytes")
+    # equal parts meet before the exchange, however many there are
+    different = links.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("one"), F.max(row).alias("other"))
+    different = written(different.select(F.col("key").alias("gram"), F.col("part").alias("region"), F.col("also").alias("more"), "n", F.col("one.bytes").alias("one"), F.col("other.bytes").alias("other")), "different-parts")
+    mine = different.select(*_SAME, F.posexplode(_places()).alias("copy", "bytes"))
+    large = None if level + 1 == len(_BLOCKS) else _large(different, most)
+    if large is None or not large.limit(1).count():
+        found = _compared(mine, length)
+    else:
+        found = _compared(mine.join(large, "gram", "left_anti"), length).union(_compared_in_parts(mine.join(large, "gram", "left_semi"), length, most, level + 1))
+    spans = written(found, "part-spans").select(F.col("gram").alias("key"), F.col("region").alias("part"), F.col("more").alias("also"), "spans")
+    back = links.where("copy = 0").select(*same, *_SAME, "at").join(spans, same)
+    return back.groupBy(*_SAME).agg(F.flatten(F.collect_list(_moved("spans", "at"))).alias("spans"))
+
+
+def _places() -> Column:
+    """Of columns n, one and other: both, or the only one."""
+    return F.when(F.col("n") > 1, F.array("one", "other")).otherwise(F.array("one"))
+
+
+def _moved(spans: str, by: str) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + F.col(by)).alias("start"), (s["stop"] + F.col(by)).alias("stop")))
+
+
+def _large(different: DataFrame, most: int) -> DataFrame:
+    """Minimizers with more than `most` different regions."""
+    return written(different.groupBy("gram").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > most).select("gram"), "large-minimizers")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024) -> DataFrame:
     """(key, id, spans) for each row with bytes to remove; spans may overlap."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     base = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("key", row_key("id", "text"))
-    names = ["gram", "region", "key", "id", "start", "stop"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             for data, docs_at, text, offset in _slabs(texts, length):
-                part, start, stop, gram, region = regions(data, docs_at, length)
+                part, start, stop, *hashes = regions(data, docs_at, length)
                 shift = offset[part] - docs_at[part]
                 row = pa.array(text[part])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(region.view(np.int64)), batch.column("key").take(row), batch.column("id").take(row), pa.array(start + shift), pa.array(stop + shift)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), batch.column("key").take(row), batch.column("id").take(row), pa.array(start + shift), pa.array(stop + shift)], [*_SAME, "key", "id", "start", "stop"])
 
-    places = written(base.mapInArrow(spread, "gram long, region long, key long, id long, start long, stop long"), "regions")
-    shared = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("n > 1")
-    shared = written(shared.select("gram", (F.col("lo") == F.col("hi")).alias("equal")), "shared-minimizers")
+    places = written(base.mapInArrow(spread, "gram long, region long, more long, key long, id long, start long, stop long"), "regions")
+    shared = written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-minimizers")
     found = written(places.join(shared, "gram"), "shared-regions")
-    mixed = found.where(~F.col("equal"))
 
-    different = written(mixed.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "id", "start", "stop")).alias("at")), "different-regions")
-    many = written(different.groupBy("gram").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > most).select("gram"), "large-minimizers")
-    wanted = different.join(many.withColumn("large", F.lit(True)), "gram", "left").groupBy("at.key", "at.id").agg(F.collect_list(F.struct("gram", "region", "at.start", "at.stop", F.coalesce("large", F.lit(False)).alias("large"))).alias("parts"))
+    row = F.struct("key", "id", "start", "stop")
+    different = written(found.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("one"), F.max(row).alias("other")), "different-regions")
+    large = _large(different, most)
+    asked = different.join(large.withColumn("large", F.lit(True)), "gram", "left").select(*_SAME, F.coalesce("large", F.lit(False)).alias("large"), F.posexplode(_places()).alias("copy", "at"))
+    wanted = asked.groupBy("at.key", "at.id").agg(F.collect_list(F.struct(*_SAME, "copy", "large", "at.start", "at.stop")).alias("parts"))
     wanted = written(wanted, "wanted-regions").withColumnsRenamed({"key": "w_key", "id": "w_id"})
-    holding = base.select("key", "id", _squeeze("text").alias("z")).join(wanted.hint("shuffle_hash"), (F.col("key") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id")))
+    holding = base.select("key", "id", _squeeze("text").alias("z")).join(wanted, (F.col("key") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (*[pa.int64()] * 3, pa.int32(), pa.bool_(), pa.binary())
         for batch in slices(batches):
             done: set = set()
-            for key, id_, z, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "z", "parts"))):
+            for key, id_, z, wants in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "z", "parts"))):
                 if (key, id_) in done:  # a repeated row
                     continue
                 done.add((key, id_))
                 text = _unsqueeze(z)
-                rows = [(p["gram"], p["region"], p["large"], text[p["start"] : p["stop"]]) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["gram", "region", "large", "bytes"])
-
-    fetched = written(holding.select("key", "id", "z", "parts").mapInArrow(cut, "gram long, region long, large boolean, bytes binary"), "region-texts")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-
-        def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            out = [(g, r, a, b) for (g, r, _), w in zip(rows, repeated_windows([x[2] for x in rows], length)) for a, b in _runs(w, length)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["gram", "region", "start", "stop"])
-
-        for batch in slices(batches, 2048):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "bytes"))):
-                if size >= _SLAB and row[0] != held[-1][0]:  # whole minimizers
-                    yield solve(held)
-                    held, size = [], 0
-                if held and held[-1][:2] == row[:2]:  # fetched twice by a repeated row
-                    continue
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield solve(held)
-
-    few = fetched.where("not large").select("gram", "region", "bytes").repartition("gram").sortWithinPartitions("gram", "region").mapInArrow(compare, "gram long, region long, start long, stop long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for gram, region, b in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "bytes"))):
-                data = np.frombuffer(b, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                h = Hashes(data, _SLAB + 8 * length)
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * len(at)), pa.array([region] * len(at)), pa.array(at), pa.array(h.of(1, at, at + length).view(np.int64))], ["gram", "region", "start", "window"])
-
-    each = written(fetched.where("large").select("gram", "region", "bytes").dropDuplicates(["gram", "region"]).mapInArrow(windows, "gram long, region long, start long, window long"), "windows")
-    twice = written(each.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-windows")
-    hot = each.join(twice, ["gram", "window"]).select("gram", "region", "start", (F.col("start") + length).alias("stop"))
+                rows = [(p["gram"], p["region"], p["more"], p["copy"], p["large"], text[p["start"] : p["stop"]]) for p in wants]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*_SAME, "copy", "large", "bytes"])
 
-    inner = written(few.union(hot).groupBy("gram", "region").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "region-spans")
-    again = written(different.where("n > 1").select("gram", "region"), "repeated-regions")
-    whole = found.where("equal").select("key", "id", "start", "stop").union(mixed.join(again, ["gram", "region"]).select("key", "id", "start", "stop"))
-    partly = mixed.join(inner, ["gram", "region"]).select("key", "id", F.col("start").alias("at"), F.explode("spans").alias("s")).select("key", "id", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.stop")).alias("stop"))
-    return whole.union(partly).groupBy("key", "id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    fetched = written(holding.select("key", "id", "z", "parts").mapInArrow(cut, "gram long, region long, more long, copy int, large boolean, bytes binary"), "region-texts")
+    spans = _compared(fetched.where("not large"), length)
+    if large.limit(1).count():
+        # a repeated row's regions may be fetched twice
+        once = fetched.where("large").dropDuplicates([*_SAME, "copy"])
+        spans = spans.union(_compared_in_parts(once, length, most))
+    here = found.join(written(spans, "region-spans"), _SAME).select("key", "id", _moved("spans", "start").alias("spans"))
+    return here.groupBy("key", "id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1024, as_string: bool = False) -> DataFrame:
     """docs and kept (binary: the UTF-8 bytes that stay), n_bytes, spans (start, stop of each
-    maximal run that was removed). Columns of docs with these names, or with those used
+    maximal run that was removed). as_string: kept is text, without parts of a character that
+    was cut. Columns of docs with these names, or with those used
     inside (_key, _z, _m_key, _m_id, _spans, _c), give way.
 
     - Null text is empty: nothing is removed. Texts shorter than length lose nothing.
@@ -346,23 +426,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{id_col}`").cast("long")
 
-    @F.arrow_udf("kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
+    @F.arrow_udf(f"kept {'string' if as_string else 'binary'}, n_bytes long, spans array<struct<start:long,stop:long>>")
     def cut(zs: pa.Array, spans: pa.Array) -> pa.Array:
         kept, sizes, runs = [], [], []
         for z, found in zip(zs, spans):
             b = _unsqueeze(z.as_py())
             gone = merge([(s["start"], s["stop"]) for s in found.as_py() or ()])
             edges = [0, *(x for s in gone for x in s), len(b)]
-            kept.append(b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2])))
+            stays = b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2]))
+            kept.append(stays.decode("utf-8", "ignore") if as_string else stays)
             sizes.append(len(b))
             runs.append([{"start": x, "stop": y} for x, y in gone])
         run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(runs, run)], ["kept", "n_bytes", "spans"])
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string() if as_string else pa.binary()), pa.array(sizes, pa.int64()), pa.array(runs, run)], ["kept", "n_bytes", "spans"])
 
     cut = cut.asNondeterministic()  # else it may be run once for each field
     small = docs.withColumns({"_key": row_key(id_, text), "_z": _squeeze(text)})
     names = [c for c in docs.columns if c != text_col]
-    both = small.select(*[F.col(f"`{c}`") for c in names], "_key", "_z").join(marks.hint("shuffle_hash"), (F.col("_key") == F.col("_m_key")) & id_.eqNullSafe(F.col("_m_id")), "left")
+    both = small.select(*[F.col(f"`{c}`") for c in names], "_key", "_z").join(marks, (F.col("_key") == F.col("_m_key")) & id_.eqNullSafe(F.col("_m_id")), "left")
     return both.withColumn("_c", cut("_z", "_spans")).select(*[F.col(f"`{c}`") for c in names], "_c.kept", "_c.n_bytes", "_c.spans")
 
 

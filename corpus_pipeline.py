@@ -43,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 200 bytes that occur more than once go; documents stay."""
-    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=200)
-    return _with_text(cut.withColumn("text", suffix_dedup.as_text("kept")))
+    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=200, as_string=True)
+    return _with_text(cut.withColumnRenamed("kept", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

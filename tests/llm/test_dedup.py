@@ -192,3 +192,41 @@ def test_columns_with_names_used_inside(spark):
     assert suffix_dedup(df).where("size(spans) = 0").count() == 12
     assert keep_one(df).count() == simhash_components(df).select("component_id").distinct().count()
     assert exact_dedup(df).where("kept").count() == 12
+
+
+def test_keep_bitmaps(spark):
+    df = spark.createDataFrame([(i, "\n".join(["x"] + [f"{i} {k}" for k in range(300)] + ["x"])) for i in range(3)], "doc_id long, text string")
+    assert [r["keeps"] for r in line_bitmaps(df, min_docs=3).collect()] == [{0: ~1, 4: ~(1 << 301 - 256)}] * 3
+
+
+@pytest.mark.parametrize("block", [64, 16, 4, 1])
+def test_equal_windows_fall_to_equal_parts(block):
+    """Regions of one minimizer, cut out of copies with a changed byte."""
+    from chronoloom.llm.suffix_dedup import parts, regions
+
+    rng = np.random.default_rng(8)
+    base, keys = rng.integers(97, 100, 700).astype(np.uint8), {}
+    for _ in range(60):
+        data = base.copy()
+        data[rng.integers(0, 700)] = 65 + rng.integers(0, 20)
+        for _, start, stop, gram, _, _ in zip(*regions(data, np.array([0, 700]), 200)):
+            part = data[start:stop]
+            starts, stops, key, *_ = parts(part, int(gram.view(np.int64)), 200, block)
+            assert starts[0] == 0 and stops[-1] == len(part) and (starts[1:] == stops[:-1] - 199).all()
+            for a, b, k in zip(starts, stops, key):
+                for at in range(a, b - 199):
+                    assert keys.setdefault((int(gram), part[at : at + 200].tobytes()), int(k)) == int(k)
+
+
+def test_many_near_copies_of_a_passage(spark):
+    """More different regions under a minimizer than a batch takes, on every level."""
+    rng = np.random.default_rng(9)
+    base, texts = rng.integers(97, 123, 420).astype(np.uint8), []
+    for _ in range(80):
+        data = base.copy()
+        data[rng.integers(0, 420)] = 65
+        texts.append(data.tobytes().decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: spans for (i, _), spans in zip(enumerate(texts), brute_spans([(i, t.encode()) for i, t in enumerate(texts)], 200))}
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in suffix_dedup(df, most=3).collect()}
+    assert got == want
