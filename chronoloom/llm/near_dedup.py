@@ -119,7 +119,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, given: DataFrame, words: int, s
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one row of each node is enough; a row's key may stand for other rows too, so nodes are made again
     some = rows.join(asked, "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
-    sets = _sets(given.join(written(some, "near-asked").hint("shuffle_hash"), "row_key", "left_semi"), words)
+    sets = _sets(given.join(written(some, "near-asked"), "row_key", "left_semi"), words)
     sets = written(sets.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "near-links")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TextCache, only, slices, written
+from .common import TextCache, give_back, only, slices, written
 
 CAPACITY = 4096
 _LITTLE = struct.Struct("<I").pack
@@ -109,7 +109,7 @@ class WordTokenizer:
     parts, and parts letters from ASCII punctuation. Then the text between spaces, and the
     letters and punctuation in it, are encoded once and remembered."""
 
-    def __init__(self, path: str, by_words: bool, most_cached: int = 160_000):
+    def __init__(self, path: str, by_words: bool, most_cached: int = 64_000):
         from tokenizers import Tokenizer
 
         self.t, self.by_words = Tokenizer.from_file(path), by_words
@@ -181,6 +181,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types[: len(names)]], names)
         t.chunks.trim()
         t.words.trim()
+        give_back()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     pieces = written(given.mapInArrow(cut, out), "pieces")

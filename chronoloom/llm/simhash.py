@@ -273,7 +273,7 @@ def one_of_each(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text
     kept = written(best.select(F.col("best.id").alias("_kept"), F.col("best.row_key").alias("_kept_row"), F.col("best.times").alias("times")), "kept")
     own = F.col(f"`{id_col}`").cast("long")
     left = docs.withColumn("_row", row_key(own, F.col(f"`{text_col}`").cast("string")))
-    out = left.join(kept.hint("shuffle_hash"), (F.col("_row") == F.col("_kept_row")) & own.eqNullSafe(F.col("_kept")), "left_semi")
+    out = left.join(kept, (F.col("_row") == F.col("_kept_row")) & own.eqNullSafe(F.col("_kept")), "left_semi")
     if kept.where("times > 1").limit(1).count():
         out = out.dropDuplicates(["_row", id_col])
     return out.drop("_row")
