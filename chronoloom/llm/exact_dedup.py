@@ -5,15 +5,17 @@
 2. The directory: distinct hashes are counted by their leading ``MAX_DEPTH`` bits (at
    most ``2**MAX_DEPTH`` numbers reach the driver). Starting from one bucket, a bucket of
    more than ``capacity`` keys is split, and the directory doubles whenever a bucket
-   grows deeper than it. A bucket at ``MAX_DEPTH`` stays overfull and is read as a chain.
-3. Texts are compared byte for byte: the pre-aggregation groups by (hash, text), so each
-   map task ships a text once however many copies it has, and texts that collide in
-   the hash remain separate entries.
-4. Entries are range-partitioned by (bucket, hash): each owner task holds a contiguous
-   range of keys, chains the entries of equal hashes by number, and writes its share of
-   the index to the shared folder.
-5. Digest rows look their entry up by (hash, SHA-256, length). A hot key makes one large
-   partition of digest rows at most, which adaptive execution splits.
+   grows deeper than it. By default the capacity is 4096 keys, or in large tables as many
+   as let half of the deepest directory do, so that splitting goes on at any size.
+3. A combiner ships a text at most ``SALTS`` times, however many copies it has. It doesn't
+   decide anything: its rows carry their whole texts and the bucket that the directory
+   gives them, and are written to the shared folder.
+4. Owner tasks take contiguous ranges of (bucket, hash). They compare the texts of a hash
+   byte for byte, merge equal ones into an entry, chain the different ones by number, and
+   write their share of the index to the shared folder.
+5. Digest rows find their bucket by the directory and their entry in it by (hash, SHA-256,
+   length). A hot key makes one large partition of digest rows at most, which adaptive
+   execution splits.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import only, strip_white, written
 
 MAX_DEPTH = 12
+SALTS = 16
 _SPAN = "36893488147419103232"  # 2**65: the id takes less than half of it, so rounding is safe
 _TOP = "9223372036854775807"  # 2**63 - 1
 
@@ -63,7 +66,7 @@ def _leading(h: Column | str, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, hash_bits: int = 64) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Texts are equal if identical without ASCII white space. Of equal texts the row with
@@ -83,23 +86,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = written(rows.select("id", "chars", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("bytes")), "digests")
 
     counts = digests.select("h").distinct().groupBy(_leading("h", MAX_DEPTH).alias("p")).count()
-    directory = Directory.build({r["p"]: r["count"] for r in counts.collect()}, capacity)
+    keys = {r["p"]: r["count"] for r in counts.collect()}
+    directory = Directory.build(keys, capacity or max(4096, -(-sum(keys.values()) // 2 ** (MAX_DEPTH - 1))))
     slots = F.broadcast(spark.createDataFrame(directory.slots(), "slot long, bucket long"))  # at most 2**MAX_DEPTH rows
+    addressed = lambda df: df.withColumn("slot", _leading("h", directory.depth)).join(slots, "slot").drop("slot")
 
     # most code points first, then the smallest id, as one number that a hash aggregate can keep
     rank = F.col("chars").cast("decimal(10,0)") * F.lit(_SPAN).cast("decimal(20,0)") + F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col("id").cast("decimal(20,0)"), F.lit(-1).cast("decimal(20,0)"))
-    entries = rows.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(rank.cast("decimal(38,0)")).alias("best"))
-    entries = entries.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("bytes"), "group_size", "best")
-    owned = entries.withColumn("slot", _leading("h", directory.depth)).join(slots, "slot").drop("slot").repartitionByRange("bucket", "h")
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha", "bytes")) - 1
+    salt = F.pmod(F.xxhash64("id", "chars"), F.lit(SALTS))
+    combined = rows.groupBy("h", "norm", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.max(rank.cast("decimal(38,0)")).alias("best"))
+    combined = written(addressed(combined.drop("salt")), "hash-entries")
+    # the ranges' partitioning serves both steps, so an owner's rows stay with it
+    owned = combined.repartitionByRange("bucket", "h").groupBy("bucket", "h", "norm").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("norm")) - 1
     top = F.floor((F.col("best") + 1) / F.lit(_SPAN).cast("decimal(20,0)")).cast("decimal(10,0)")
     keep = F.lit(_TOP).cast("decimal(20,0)") - (F.col("best") - F.col("top") * F.lit(_SPAN).cast("decimal(20,0)"))
-    index = owned.select("bucket", "h", chain.alias("chain"), "sha", "bytes", "group_size", "best")
+    index = owned.select("bucket", "h", chain.alias("chain"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("bytes"), "group_size", "best")
     index = written(index, "hash-index")
     index = index.withColumn("top", top).withColumn("keep", keep).select(
         "bucket", "chain", "h", "sha", "bytes", "group_size", F.col("top").cast("int").alias("top"), F.when(F.col("keep") <= F.lit(_TOP).cast("decimal(20,0)"), F.col("keep")).cast("long").alias("keep_id")
     )
-    found = digests.join(index, ["h", "sha", "bytes"])
+    found = addressed(digests).join(index, ["bucket", "h", "sha", "bytes"])
     return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("top"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain"
     )
