@@ -27,7 +27,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir, or a temporary
-    one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Where that is
+    unset: a temporary one in local mode, as in tests, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/chronoloom-{name}-{uuid.uuid4().hex}"

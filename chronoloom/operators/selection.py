@@ -116,24 +116,25 @@ def _exact_kendall(n: int, discordant: int) -> float:
 
 
 def _inversions(values: list) -> int:
-    """Pairs out of order, by merging."""
-    if len(values) < 2:
-        return 0
-
-    def merge(a: list) -> tuple[list, int]:
-        if len(a) < 2:
-            return a, 0
-        (x, n), (y, m) = merge(a[: len(a) // 2]), merge(a[len(a) // 2 :])
-        out, i, total = [], 0, n + m
-        for v in y:
-            while i < len(x) and x[i] <= v:
-                out.append(x[i])
-                i += 1
-            total += len(x) - i
-            out.append(v)
-        return out + x[i:], total
+    """Pairs out of order: sorted runs are merged, all runs of a length at once."""
+    import numpy as np
 
-    return merge(values)[1]
+    n = len(values)
+    if n < 2:
+        return 0
+    ranks = np.unique(np.asarray(values), return_inverse=True)[1].astype(np.int64)
+    x = np.full(1 << (n - 1).bit_length(), n, np.int64)  # filled up with what is never before anything
+    x[:n] = ranks
+    width, total = 1, 0
+    while width < len(x):
+        pairs = x.reshape(-1, 2, width)
+        run = np.arange(len(pairs))[:, None] * (n + 1)
+        left, right = (pairs[:, 0] + run).ravel(), (pairs[:, 1] + run).ravel()
+        upto = np.searchsorted(left, right, "right").reshape(len(pairs), width)
+        total += int(((np.arange(len(pairs))[:, None] + 1) * width - upto).sum())
+        x = np.sort(pairs.reshape(-1, 2 * width), axis=1).ravel()
+        width *= 2
+    return total
 
 
 @dataclass(frozen=True)
@@ -188,17 +189,18 @@ def _discordant(long: DataFrame, blocks: int) -> dict[str, int]:
     block = lambda v, e: F.size(F.filter(e, lambda b: b < F.col(v)))
     rows = long.join(F.broadcast(edges), "_feature")  # 2 * blocks numbers for each feature
     rows = rows.select("_feature", "_x", "_y", block("_x", "_ex").alias("_bx"), block("_y", "_ey").alias("_by"))
-    table: dict[str, dict[int, dict[int, int]]] = {}
-    for r in rows.groupBy("_feature", "_bx", "_by").count().collect():
-        table.setdefault(r["_feature"], {}).setdefault(r["_bx"], {})[r["_by"]] = r["count"]
-    out = {}
-    for name, by_x in table.items():
-        above, total = [0] * (blocks + 1), 0  # above: of earlier blocks of x, by block of y
-        for bx in sorted(by_x):
-            total += sum(n * sum(above[by + 1 :]) for by, n in by_x[bx].items())
-            for by, n in by_x[bx].items():
-                above[by] += n
-        out[name] = total
+
+    def between(t):  # a feature's table of block sizes, of blocks ** 2 numbers at most
+        import numpy as np
+        import pyarrow as pa
+
+        sizes = np.zeros((blocks + 1, blocks + 2), object)
+        sizes[t["_bx"].to_numpy(), t["_by"].to_numpy()] = t["count"].to_numpy().astype(object)
+        above = np.cumsum(np.cumsum(sizes, axis=0)[:, ::-1], axis=1)[:, ::-1]  # of blocks up to x and from y on
+        return pa.table({"_feature": t["_feature"][:1], "n": pa.array([int((sizes[1:, :-1] * above[:-1, 1:]).sum())], pa.int64())})
+
+    table = rows.groupBy("_feature", "_bx", "_by").count()
+    out = {r["_feature"]: r["n"] for r in table.groupBy("_feature").applyInArrow(between, "_feature string, n long").collect()}
 
     def inside(by: str, of: str, order: list[str]) -> None:
         several = rows.groupBy("_feature", by).agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").select("_feature", by)
@@ -220,14 +222,17 @@ def _discordant(long: DataFrame, blocks: int) -> dict[str, int]:
 
 def kendall_p_values(df: DataFrame, features: list[str], target: str, rows_in_task: int = 100_000) -> dict[str, float]:
     """Kendall's test of each feature against a target of any number of values. Up to
-    rows_in_task rows a feature is a task's work; beyond, it is cut into blocks."""
+    rows_in_task rows a feature is a task's work; beyond, it is cut into blocks. Rows in which
+    the feature or the target is null or NaN don't count for that feature; without rows: 1."""
     long = df.select(F.col(f"`{target}`").cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).unpivot("_y", features, "_feature", "_x")
-    n = df.count()
+    long = long.where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
+    counts = {r["_feature"]: r["count"] for r in long.groupBy("_feature").count().collect()}
+    n = max(counts.values(), default=0)
     if n > rows_in_task:
         discordant = _discordant(long, min(256, -(-n // rows_in_task) + 1))
         none = Ties(0, 0, 0)
         x, y, both = (_tie_sums(long, c) for c in (["_x"], ["_y"], ["_x", "_y"]))
-        return {c: kendall_from_counts(n, discordant.get(c, 0), x.get(c, none), y.get(c, none), both.get(c, none).pairs) for c in features}
+        return {c: kendall_from_counts(counts.get(c, 0), discordant.get(c, 0), x.get(c, none), y.get(c, none), both.get(c, none).pairs) for c in features}
 
     def test(table):
         import pyarrow as pa

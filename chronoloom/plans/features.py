@@ -94,9 +94,8 @@ class Planner:
         """The transform's length: that of the series, or padded if a size is asked for."""
         if not self.max_size or self.mode == SLIDING:
             return self.size()
-        # sizes above max_size are padded too; they are few kinds, so they are listed by a function
-        padded = F.udf(kernels.next_good_fft_size, "int")
-        return self.helper("_fft_size", F.when(self.size() <= self.max_size, F.lit(kernels.next_good_fft_size(self.max_size))).otherwise(padded(self.size())), 1)
+        # sizes above max_size are padded too
+        return self.helper("_fft_size", F.when(self.size() <= self.max_size, F.lit(kernels.next_good_fft_size(self.max_size))).otherwise(padded_sizes()(self.size())), 1)
 
     # features
 
@@ -325,7 +324,8 @@ class Planner:
         return After(-F.aggregate(shares, F.lit(0.0), lambda total, p: total + F.when(p > 0, p * F.log(p)).otherwise(0.0)))
 
     def _benford_correlation(self):
-        size = F.abs(self.v)
+        # NaN and infinite values have no digit
+        size = F.when(F.abs(self.v) < float("inf"), F.abs(self.v))
         exponent = F.floor(F.log10(F.when(size > 0, size)))
         # powers of ten below 1 aren't exact, so small values are multiplied
         power = F.pow(F.lit(10.0), F.abs(exponent))
@@ -413,6 +413,21 @@ def features(frame: DataFrame, keys: list[str], specs: list[FeatureSpec], mode:
     return out.select(*keys, *[shown(s).alias(s.name) for s in specs])
 
 
+def padded_sizes():
+    """An Arrow function from sizes to those of their transforms; each different size of a batch is
+    looked for once."""
+
+    @F.arrow_udf("int")
+    def run(sizes):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds, at = np.unique(sizes.to_numpy(zero_copy_only=False), return_inverse=True)
+        return pa.array(np.array([kernels.next_good_fft_size(int(n)) for n in kinds], np.int32)[at])
+
+    return run
+
+
 def whole_series(kernels_: list):
     """An Arrow function from arrays of numbers to an array with each kernel's result."""
 

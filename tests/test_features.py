@@ -136,3 +136,12 @@ def test_sources(spark, tmp_path):
 
 def test_empty_frame(frame):
     assert extract(frame.limit(0), ["mean", "spectral_centroid", "entropy"]).count() == 0
+
+
+def test_benford_leaves_out_nan(spark):
+    from chronoloom.operators.extract import extract
+
+    values = [1.0, 12.0, 2.5, 0.3, 19.0]
+    rows = [("a", i, v) for i, v in enumerate(values)] + [("b", i, v) for i, v in enumerate([*values, float("nan"), float("inf")])]
+    got = {r["series_id"]: r["benford_correlation"] for r in extract(spark.createDataFrame(rows, "series_id string, pos int, v double"), ["benford_correlation"]).collect()}
+    assert got["a"] == got["b"]

@@ -72,3 +72,25 @@ def test_kendall_in_blocks_equals_one_task(spark):
     df = spark.createDataFrame(list(rows), "y long, a double, hot long, c double")
     whole, cut = (kendall_p_values(df, ["a", "hot", "c"], "y", k) for k in (10**6, 60))
     assert cut == pytest.approx(whole, rel=1e-12)
+
+
+def test_inversions():
+    import random
+
+    from chronoloom.operators.selection import _inversions
+
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 7, 8, 33, 100):
+        x = [rng.randint(0, 20) / 4 for _ in range(n)]
+        assert _inversions(x) == sum(a > b for i, a in enumerate(x) for b in x[i + 1 :])
+
+
+def test_kendall_leaves_out_nulls(spark):
+    from chronoloom.operators.selection import kendall_p, kendall_p_values
+
+    rows = [(float(i * 7 % 11), float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, 1.0), (2.0, None), (float("nan"), 3.0)], "f double, y double").selectExpr("f", "y", "cast(null as double) as none")
+    want = kendall_p(*zip(*rows))
+    for rows_in_task in (100, 10):
+        p = kendall_p_values(df, ["f", "none"], "y", rows_in_task)
+        assert abs(p["f"] - want) < 1e-12 and p["none"] == 1.0
