@@ -229,8 +229,15 @@ def _features_sql(names: list[str], series: str, mode: str, digits: list[int] |
     return f"WITH {', '.join(steps)} SELECT series_id, {shown}{', '.join(made)} FROM {last} GROUP BY series_id, k"
 
 
-def _whole_sql(name: str, series: str) -> str:
+def _whole_sql(name: str, series: str, mode: str = "static") -> str:
     body, digits = WHOLE_SQL[name]
+    if mode != "static":  # prefixes and windows as series of their own, of any length up to 64
+        body = body.replace("s), range(0, 33) r(b) GROUP BY", "s) JOIN range(0, 33) r(b) ON b <= n // 2 GROUP BY").replace("AS a\n", "AS a, any_value(n) AS n\n")
+        body = body.replace("(100 / 64.0)", "(100 / (n // 2 * 2.0))")
+        key, frame = FRAME_SQL[mode][0].split(" AS ")[1], FRAME_SQL[mode][1]
+        steps = f"s AS ({SERIES_SQL[series]}), f AS ({frame}), g AS (SELECT series_id || '|' || k AS series_id, pos, v FROM f)"
+        inner = re.sub(r"\bs\b(?=[\s,)]|$)", "g", body)
+        return f'WITH {steps}, w AS (WITH {inner}) SELECT split_part(series_id, chr(124), 1) AS series_id, CAST(split_part(series_id, chr(124), 2) AS BIGINT) AS {key}, {_grid_sql("x", digits)} AS "{name}" FROM w'
     return f'WITH s AS ({SERIES_SQL[series]}), w AS (WITH {body}) SELECT series_id, {_grid_sql("x", digits)} AS "{name}" FROM w'
 
 
@@ -351,6 +358,8 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             for one, names in by.items():
                 series = "embeddings" if family in ("spectral", "counts") else "events"
                 out[f"{mode}_{_key(one or family)}"] = (_run(names, series, mode, [SQL[n][1] for n in names]), _features_sql(names, series, mode))
+        for name, (_, digits) in WHOLE_SQL.items():
+            out[f"{mode}_{_key(name)}"] = (_run([name], "embeddings", mode, [digits]), _whole_sql(name, "embeddings", mode))
     short = {"total_sum": 2, "mean": 4, "variance": 0, "median": 4, "kurtosis": 5, "slope": 3, "autocorr-3": 6, "c3-2": -6, "paa-6-4": 4, "auc": 2}  # large values, so a coarser grid
     out["static_short_series"] = (_run(list(short), "orders", "static", list(short.values())), _features_sql(list(short), "orders", "static", list(short.values())))
     stream_sql = _features_sql(STREAMED, "events", "expanding")
