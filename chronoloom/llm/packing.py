@@ -109,7 +109,7 @@ class WordTokenizer:
     parts, and parts letters from ASCII punctuation. Then the text between spaces, and the
     letters and punctuation in it, are encoded once and remembered."""
 
-    def __init__(self, path: str, by_words: bool, most_cached: int = 64_000):
+    def __init__(self, path: str, by_words: bool, most_cached: int = 160_000):
         from tokenizers import Tokenizer
 
         self.t, self.by_words = Tokenizer.from_file(path), by_words
@@ -145,14 +145,15 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str, by_words: bool) -> WordTokenizer:
-    return WordTokenizer(path, by_words)
+def _tokenizer(path: str, by_words: bool, most_cached: int) -> WordTokenizer:
+    return WordTokenizer(path, by_words, most_cached)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, with_ids: bool = False, most_cached: int = 160_000) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids,
     ids (binary, little-endian 32-bit). path: a tokenizers file, at the same place on each
-    executor. end_id follows each document's ids.
+    executor. end_id follows each document's ids. most_cached: how many words a worker remembers,
+    those of over 48 characters left out.
 
     Only documents of more than capacity ids are cut, into pieces of capacity ids, the
     last one shorter. Null text is empty: end_id alone. Rows with a null or repeated id are
@@ -166,7 +167,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, part, seen = _tokenizer(path, by_words), TaskContext.get().partitionId(), {}
+        t, part, seen = _tokenizer(path, by_words, most_cached), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []

@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, most_cached=64_000)
 
 
 STAGES = [
