@@ -39,3 +39,20 @@ def test_one_row_of_repeated_rows_and_ids(spark):
     # a repeated row isn't emptied by the stage after
     cut = pipeline.drop_repeated_passages(spark, pipeline.near_dedup(spark, docs, "").localCheckpoint(), "")
     assert repeated in {r["text"] for r in cut.collect()}
+
+
+def test_stages_on_an_empty_table_and_on_nulls(spark):
+    rng = random.Random(7)
+    empty = spark.createDataFrame([], SCHEMA)
+    rows = [(None, words(rng, 80), None, None, None), (5, None, "aa", "s", 0), (6, "", "aa", "s", 0), (7, words(rng, 80), None, "s", None), (8, words(rng, 90), "aa", None, 3)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", key long, _row string")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        if name != "best_fit_packing":
+            assert stage(spark, docs.drop("key", "_row"), "").columns == stage(spark, docs, "").columns == pipeline.COLUMNS
+    texts = {r[0]: r[1] or "" for r in rows}
+    one_of_empty = [5, 6]
+    kept = {r["doc_id"]: r["text"] for r in pipeline.near_dedup(spark, docs, "").collect()}
+    assert set(kept) == {None, 5, 7, 8} and all((kept[i] or "") == texts[i] for i in kept) and one_of_empty[0] in kept
+    assert {r["doc_id"]: r["text"] for r in pipeline.drop_repeated_passages(spark, docs, "").collect()} == texts
+    assert {r["doc_id"] for r in pipeline.language_id(spark, docs, "").collect()} <= {None, 7, 8}
