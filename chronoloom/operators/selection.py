@@ -32,16 +32,19 @@ def constant_features(df: DataFrame, features: list[str]) -> list[str]:
     return [c for k, c in enumerate(features) if not (row[k] or 0) > 0]
 
 
-def correlated_features(df: DataFrame, features: list[str], threshold: float = 0.98, at_once: int = 400) -> list[str]:
+def correlated_features(df: DataFrame, features: list[str], threshold: float = 0.98, at_once: int = 512) -> list[str]:
     """In order, each feature that isn't dropped drops the later ones whose absolute
-    correlation with it is above threshold. Pairs are aggregated at_once to a job."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    correlation with it is above threshold. Rows in which either of two features is null don't
+    count for them; a feature with NaN or infinite values correlates with none that is there.
+
+    One pass gives all pairs of at_once features; of more, each pair of blocks takes one."""
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    means = df.agg(*[F.avg(F.when(F.abs(x(c)) < float("inf"), x(c))).alias(f"m{k}") for k, c in enumerate(features)]).first()
+    blocks = [range(k, min(k + at_once, len(features))) for k in range(0, len(features), at_once)]
     close: dict[int, set[int]] = {}
-    for k in range(0, len(pairs), at_once):
-        block = pairs[k : k + at_once]
-        row = df.agg(*[F.abs(F.corr(F.col(f"`{features[i]}`").cast("double"), F.col(f"`{features[j]}`").cast("double"))).alias(f"c{n}") for n, (i, j) in enumerate(block)]).first()
-        for n, (i, j) in enumerate(block):
-            if row[n] is not None and row[n] > threshold:
+    for n, left in enumerate(blocks):
+        for right in blocks[n:]:
+            for i, j in _close_pairs(df.select(*[x(features[k]).alias(f"c{k}") for k in sorted({*left, *right})]), left, right, [m or 0.0 for m in means], threshold):
                 close.setdefault(i, set()).add(j)
     gone: set[int] = set()
     for i in range(len(features)):
@@ -50,6 +53,47 @@ def correlated_features(df: DataFrame, features: list[str], threshold: float = 0
     return [features[i] for i in sorted(gone)]
 
 
+def _close_pairs(columns: DataFrame, left: range, right: range, means: list[float], threshold: float) -> list[tuple[int, int]]:
+    """Pairs i < j of left and right whose absolute correlation is above threshold. Each task adds
+    up products of matrices of centred values; a feature's sums meet in one row."""
+    size = len(right)
+
+    def add_up(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = np.zeros((7, len(left), size))
+
+        def values(batch, of):  # centred values, 1 where there is one, 1 where it isn't finite
+            raw = [batch.column(f"c{k}") for k in of]
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in raw])
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in raw]) - np.array([means[k] for k in of])
+            sound = there & np.isfinite(v)
+            return np.where(sound, v, 0.0), there.astype(float), (there & ~sound).astype(float)
+
+        for batch in batches:
+            (a, in_a, bad_a), (b, in_b, bad_b) = values(batch, left), values(batch, right)
+            sums += [in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b, bad_a.T @ in_b + in_a.T @ bad_b]
+        yield pa.RecordBatch.from_arrays([pa.array(list(left), pa.int64()), pa.array([sums[:, i].tobytes() for i in range(len(left))], pa.binary())], ["i", "sums"])
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        i = table["i"][0].as_py()
+        total = np.zeros(7 * size)
+        for part in table["sums"]:
+            total += np.frombuffer(part.as_buffer(), np.float64)
+        n, a, b, aa, bb, ab, bad = total.reshape(7, size)
+        n = np.maximum(n, 1)
+        spread = np.sqrt(np.maximum(aa - a * a / n, 0) * np.maximum(bb - b * b / n, 0))
+        found = [j for k, j in enumerate(right) if j > i and not bad[k] and spread[k] > 0 and abs(ab[k] - a[k] * b[k] / n[k]) > threshold * spread[k]]
+        return pa.table({"i": pa.array([i] * len(found), pa.int64()), "j": pa.array(found, pa.int64())})
+
+    sums = columns.mapInArrow(add_up, "i long, sums binary")
+    return [(r["i"], r["j"]) for r in sums.groupBy("i").applyInArrow(compare, "i long, j long").collect()]
+
+
 def _log_beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -314,33 +315,76 @@ SELECT series_id, {_grid_sql("avg(v)", 6)} AS mean, {_grid_sql("median(v)", 6)}
 """
 
 
+SELECTED = ["total_sum", "mean", "std_dev", "variance", "energy", "turning_points", "median", "slope", "abs_max"]
+
+
 def _selected(target: str | None) -> Callable[[SparkSession, str], DataFrame]:
-    names = ["total_sum", "mean", "std_dev", "variance", "energy", "turning_points", "median", "slope", "abs_max"]
+    """Each feature's state and, with a target, p-value."""
+    level = 0.5
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("series_id"), "label", (F.col("label") % 2).alias("odd"))
-        table = ops.extract(_embeddings(spark, sf_dir), names).join(labels, "series_id")
-        found = select_features(table, names, target, fdr_level=0.5)
+        table = ops.extract(_embeddings(spark, sf_dir), SELECTED)
+        if target is not None:  # else sums in another order would part equal values
+            table = table.select("series_id", *[_grid(F.col(n), 9).alias(n) for n in SELECTED])
+        found = select_features(table.join(labels, "series_id"), SELECTED, target, fdr_level=level)
         state = lambda n: "constant" if n in found.constant else "correlated" if n in found.correlated else "kept" if n in found.kept else "insignificant"
-        return spark.createDataFrame([(n, state(n)) for n in names], "feature string, state string")
+        p_value = lambda n: math.floor(found.p_values[n] * 1e6 + _OFFSET) / 1e6 if n in found.p_values else None
+        if target is None:
+            return spark.createDataFrame([(n, state(n)) for n in SELECTED], "feature string, state string")
+        return spark.createDataFrame([(n, state(n), p_value(n)) for n in SELECTED], "feature string, state string, p_value double")
 
     return query
 
 
-# The greedy pass over correlated pairs as a recursion over the features in order.
-SELECT_UNSUPERVISED = f"""
-WITH RECURSIVE s AS ({SERIES_SQL["embeddings"]}),
-f AS (SELECT series_id, [sum(v), avg(v), stddev_samp(v), var_samp(v), sum(v * v), 0.0, median(v), regr_slope(v, pos), max(abs(v))] AS x FROM s GROUP BY series_id),
+_SELECTED_SQL = ["sum(v)", "avg(v)", "stddev_samp(v)", "var_samp(v)", "sum(v * v)", "0.0", "median(v)", "regr_slope(v, pos)", "max(abs(v))"]
+_STATE = "CASE WHEN n.i NOT IN (SELECT i FROM k) THEN 'constant' WHEN list_contains((SELECT gone FROM r WHERE i = 9), n.i) THEN 'correlated'"
+
+# Student's t of whole degrees of freedom: its finite series in the angle whose tangent is t / sqrt(freedom).
+_T_TEST = """
+m AS (SELECT i, count(x) FILTER (y = 0) AS n0, count(x) FILTER (y = 1) AS n1, avg(x) FILTER (y = 0) - avg(x) FILTER (y = 1) AS d, var_samp(x) FILTER (y = 0) AS v0, var_samp(x) FILTER (y = 1) AS v1 FROM t GROUP BY i),
+q AS (SELECT i, n0 + n1 - 2 AS f, abs(d) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS t FROM m),
+u AS (SELECT *, unnest(range(0, f // 2)) AS j FROM q),
+w AS (SELECT i, exp(sum(CASE WHEN j = 0 THEN 0 WHEN f % 2 = 0 THEN ln((2 * greatest(j, 1) - 1) / (2.0 * greatest(j, 1))) ELSE ln(2 * greatest(j, 1) / (2.0 * j + 1)) END) OVER (PARTITION BY i ORDER BY j) + j * ln(f / (f + t * t))) AS x FROM u),
+p AS (SELECT i, greatest(1 - CASE WHEN f % 2 = 0 THEN t / sqrt(f + t * t) * z ELSE 2 / pi() * (atan(t / sqrt(f)) + t * sqrt(f) / (f + t * t) * z) END, 0) AS p FROM q JOIN (SELECT i, sum(x) AS z FROM w GROUP BY i) USING (i))"""
+
+# Discordant pairs by running counts of each label; the normal tail by the series of the error function.
+_KENDALL = """
+a AS (SELECT i, x, y, count(*) AS c FROM t GROUP BY ALL),
+e AS (SELECT d.i, d.x, l.y, coalesce(a.c, 0) AS c FROM (SELECT DISTINCT i, x FROM a) d CROSS JOIN (SELECT DISTINCT y FROM a) l LEFT JOIN a ON a.i = d.i AND a.x = d.x AND a.y = l.y),
+h AS (SELECT *, sum(c) OVER (PARTITION BY i, y ORDER BY x) - c AS before FROM e),
+o AS (SELECT *, sum(before) OVER (PARTITION BY i, x ORDER BY y DESC) - before AS above FROM h),
+d AS (SELECT i, CAST(sum(c * above) AS DOUBLE) AS d FROM o GROUP BY i),
+n AS (SELECT i, CAST(sum(c) AS DOUBLE) AS n, CAST(sum(c * (c - 1) // 2) AS DOUBLE) AS ties FROM a GROUP BY i),
+tx AS (SELECT i, CAST(sum(c * (c - 1) // 2) AS DOUBLE) AS p, sum(CAST(c AS DOUBLE) * (c - 1) * (c - 2)) AS t, sum(CAST(c AS DOUBLE) * (c - 1) * (2 * c + 5)) AS s FROM (SELECT i, sum(c) AS c FROM a GROUP BY i, x) GROUP BY i),
+ty AS (SELECT i, CAST(sum(c * (c - 1) // 2) AS DOUBLE) AS p, sum(CAST(c AS DOUBLE) * (c - 1) * (c - 2)) AS t, sum(CAST(c AS DOUBLE) * (c - 1) * (2 * c + 5)) AS s FROM (SELECT i, sum(c) AS c FROM a GROUP BY i, y) GROUP BY i),
+q AS (SELECT i, abs(n * (n - 1) / 2 - tx.p - ty.p + ties - 2 * d) / sqrt(2 * ((n * (n - 1) * (2 * n + 5) - tx.s - ty.s) / 18 + 2 * tx.p * ty.p / (n * (n - 1)) + tx.t * ty.t / (9 * n * (n - 1) * (n - 2)))) AS z FROM n JOIN d USING (i) JOIN tx USING (i) JOIN ty USING (i)),
+u AS (SELECT i, least(z, 12) AS z, unnest(range(0, 600)) AS j FROM q),
+w AS (SELECT i, exp(j * ln(2) + (2 * j + 1) * ln(greatest(z, 1e-300)) - z * z - sum(ln(2 * j + 1)) OVER (PARTITION BY i ORDER BY j)) AS x FROM u),
+p AS (SELECT i, greatest(1 - 2 / sqrt(pi()) * sum(x), 0) AS p FROM w GROUP BY i)"""
+
+
+def _select_sql(label: str = "", test: str = "", level: float = 0.5) -> str:
+    """The greedy pass over correlated pairs as a recursion over the features in order; with a
+    label the test and the step-up over its p-values."""
+    made = ", ".join(_grid_sql(e, 9) if label else e for e in _SELECTED_SQL)
+    both = f"""WITH RECURSIVE s AS ({SERIES_SQL["embeddings"]}),
+f AS (SELECT series_id, [{made}] AS x FROM s GROUP BY series_id),
 l AS (SELECT series_id, unnest(range(1, 10)) AS i, unnest(x) AS x FROM f),
 k AS (SELECT i FROM l GROUP BY i HAVING stddev_pop(x) > 0),
 c AS (SELECT a.i, b.i AS j FROM l a JOIN l b ON a.series_id = b.series_id AND a.i < b.i WHERE a.i IN (SELECT i FROM k) AND b.i IN (SELECT i FROM k) GROUP BY a.i, b.i HAVING abs(corr(a.x, b.x)) > 0.98),
 g AS (SELECT list(i * 10 + j) AS close FROM c),
 r AS (SELECT 0 AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
-      SELECT r.i + 1, CASE WHEN list_contains(gone, r.i + 1) THEN gone ELSE list_concat(gone, list_transform(list_filter(coalesce(close, []), lambda z: z // 10 = r.i + 1), lambda z: z % 10)) END FROM r, g WHERE r.i < 9)
-SELECT ['total_sum', 'mean', 'std_dev', 'variance', 'energy', 'turning_points', 'median', 'slope', 'abs_max'][n.i] AS feature,
-       CASE WHEN n.i NOT IN (SELECT i FROM k) THEN 'constant' WHEN list_contains((SELECT gone FROM r WHERE i = 9), n.i) THEN 'correlated' ELSE 'kept' END AS state
-FROM range(1, 10) n(i)
-"""
+      SELECT r.i + 1, CASE WHEN list_contains(gone, r.i + 1) THEN gone ELSE list_concat(gone, list_transform(list_filter(coalesce(close, []), lambda z: z // 10 = r.i + 1), lambda z: z % 10)) END FROM r, g WHERE r.i < 9)"""
+    if not label:
+        return f"{both} SELECT {SELECTED}[n.i] AS feature, {_STATE} ELSE 'kept' END AS state FROM range(1, 10) n(i)"
+    return f"""{both},
+t AS (SELECT l.i, l.x, y.y FROM l JOIN (SELECT CAST(vec_id AS VARCHAR) AS series_id, {label} AS y FROM embeddings) y USING (series_id)
+      WHERE l.i IN (SELECT i FROM k) AND NOT list_contains((SELECT gone FROM r WHERE i = 9), l.i)),{test},
+b AS (SELECT *, row_number() OVER (ORDER BY p, i) AS place, count(*) OVER () AS tests FROM p),
+z AS (SELECT coalesce(max(place) FILTER (p <= place / tests * {level}), 0) AS last FROM b)
+SELECT {SELECTED}[n.i] AS feature, {_STATE} WHEN b.place <= z.last THEN 'kept' ELSE 'insignificant' END AS state, {_grid_sql("b.p", 6)} AS p_value
+FROM range(1, 10) n(i) CROSS JOIN z LEFT JOIN b ON b.i = n.i"""
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
@@ -366,8 +410,8 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     out["stream_expanding"] = (stream_expanding, f'SELECT * EXCLUDE (end_pos) FROM ({stream_sql}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY end_pos DESC) = 1')
     out["stream_sliding"] = (stream_sliding, _features_sql(STREAMED, "events", "sliding"))
     out["source_wide"], out["source_padded"] = (source_wide, SOURCE_WIDE), (source_padded, SOURCE_PADDED)
-    out["select_unsupervised"] = (_selected(None), SELECT_UNSUPERVISED)
-    out["select_two_classes"], out["select_kendall"] = (_selected("odd"), ""), (_selected("label"), "")
+    out["select_unsupervised"] = (_selected(None), _select_sql())
+    out["select_two_classes"], out["select_kendall"] = (_selected("odd"), _select_sql("label % 2", _T_TEST)), (_selected("label"), _select_sql("label", _KENDALL))
     return out
 
 

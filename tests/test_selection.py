@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from chronoloom.operators.selection import _inversions, benjamini_hochberg, kendall_p, kendall_p_values, select_features, t_test_p
+from chronoloom.operators.selection import _inversions, benjamini_hochberg, correlated_features, kendall_p, kendall_p_values, select_features, t_test_p
 
 
 def test_t_p_values():
@@ -94,3 +94,16 @@ def test_kendall_leaves_out_nulls(spark):
     for rows_in_task in (100, 10):
         p = kendall_p_values(df, ["f", "none"], "y", rows_in_task)
         assert abs(p["f"] - want) < 1e-12 and p["none"] == 1.0
+
+
+def test_correlations_in_blocks_with_nulls(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(1e6, 1, (400, 3))
+    x = np.column_stack([base, base[:, 0] * -2 + 1, base[:, 1] + rng.normal(0, 0.05, 400), rng.normal(0, 1, 400)])
+    rows = [[None if rng.random() < 0.1 else float(v) for v in r] for r in x]
+    rows[7][5] = float("nan")
+    names = [f"x.{k}" for k in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(3)
+    for at_once in (2, 4, 512):
+        assert correlated_features(df, names, 0.98, at_once) == ["x.3", "x.4"]
+    assert correlated_features(df.limit(0), names) == []
