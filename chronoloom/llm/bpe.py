@@ -10,7 +10,6 @@ exact results, and after an edit only prefixes near it are done again.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -255,27 +254,25 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (binary,
-    little-endian 32-bit). path: ranks, one "base64 rank" a line, at the same place on
-    each executor.
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, ids (binary, little-endian 32-bit), decoded (the bytes that the ids
+    stand for), ids_sha256 and decoded_sha256. path: ranks, one "base64 rank" a line, at the same
+    place on each executor.
 
     Null text is encoded as empty: no ids. Equal rows give equal rows; ids may be null or
     repeat; an empty table gives an empty result; other columns are ignored. Very long
     pieces take time in proportion to their length and are not cached.
     """
-    out = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches):
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names)
+            cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids", "decoded"])
         c.parts.trim()
         c.pieces.trim()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    coded = given.mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary")
+    return coded.select("*", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).withColumnRenamed("id", id_col)

@@ -74,23 +74,30 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (self.size * len(own)))
 
 
-def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most `most` rows, those of the smallest hash of key. A threshold from the count thins
-    the rows first, so that only about twice as many are ever sorted."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    h = F.xxhash64(key, F.lit(7))
-    share = min(1.0, 2 * most / n)
-    kept = rows.withColumn("_h", h).where((F.col("_h").cast("double") / 2.0**64 + 0.5) < share)
-    return kept.orderBy("_h").limit(most).drop("_h")
-
-
-def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", size: int = 400, most_rows: int = 20_000) -> Profiles:
-    """Profiles of size n-grams for each language, from at most most_rows rows in all. Rows with
+def bounded_sample(rows: DataFrame, key: Column, most: int, by: Column | None = None) -> DataFrame:
+    """At most `most` rows of each value of by (of all by default), those of the smallest hashes
+    of key; of a key that repeats beyond that bound, none. Counts thin the hashes to about twice
+    as many before they are sorted, and rows are then chosen by comparing hashes, so texts are
+    neither sorted nor shuffled. Two numbers for each value with more rows reach the driver."""
+    rows = rows.select("*", F.lit("").alias("_by") if by is None else by.alias("_by"), F.xxhash64(key, F.lit(7)).alias("_h"))
+    counts = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+    if not counts:
+        return rows.drop("_by", "_h")
+
+    def of(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("_by")]
+
+    early = rows.select("_by", "_h").where(F.col("_h").cast("double") / 2.0**64 + 0.5 < of({r["_by"]: 2.0 * most / r["n"] for r in counts}))
+    nth = F.row_number().over(Window.partitionBy("_by").orderBy("_h"))
+    stops = {r["_by"]: r["_h"] for r in early.withColumn("nth", nth).where(F.col("nth") == most + 1).collect()}
+    return rows.where(of(stops).isNull() | (F.col("_h") < of(stops))).drop("_by", "_h") if stops else rows.drop("_by", "_h")
+
+
+def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", size: int = 400, most_rows: int = 5_000) -> Profiles:
+    """Profiles of size n-grams for each language, from at most most_rows rows of each. Rows with
     null text or language don't count; without any row there is no language."""
     rows = only(labelled, *dict.fromkeys((key_col, text_col, lang_col))).select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = bounded_sample(rows.where("text is not null and lang is not null"), F.col("key"), most_rows)
+    rows = bounded_sample(rows.where("text is not null and lang is not null"), F.col("key"), most_rows, F.col("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -131,7 +138,7 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 5 == 0, F.lit(False))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400, most_rows: int = 20_000) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400, most_rows: int = 5_000) -> DataFrame:
     """Per row: id, held_out, lang_pred, score. Learns from rows that aren't held out.
 
     Rows with a null id aren't held out, nor learned from. Repeated rows are predicted

@@ -16,7 +16,6 @@ from __future__ import annotations
 import bisect
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -149,9 +148,9 @@ def _tokenizer(path: str, by_words: bool, most_cached: int) -> WordTokenizer:
     return WordTokenizer(path, by_words, most_cached)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, with_ids: bool = False, most_cached: int = 160_000) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids,
-    ids (binary, little-endian 32-bit). path: a tokenizers file, at the same place on each
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, most_cached: int = 160_000) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and ids (binary,
+    little-endian 32-bit): a sequence is its pieces' ids in the order of offset. path: a tokenizers file, at the same place on each
     executor. end_id follows each document's ids. most_cached: how many words a worker remembers,
     those of over 48 characters left out.
 
@@ -161,8 +160,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     spark = docs.sparkSession
-    out = "id long, piece int, start long, length long, ids_crc32 long, part long, nth long" + ", ids binary" * with_ids
-    names = [x.split()[0] for x in out.split(", ")]
+    names = ["id", "piece", "start", "length", "part", "nth", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -177,15 +175,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     piece = ids[at : at + 4 * capacity]
                     n = len(piece) // 4
                     seen[n] = seen.get(n, -1) + 1
-                    rows.append((i, k, at // 4, n, zlib.crc32(piece), part, seen[n], piece)[: len(names)])
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types[: len(names)]], names)
+                    rows.append((i, k, at // 4, n, part, seen[n], piece))
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
         t.chunks.trim()
         t.words.trim()
         give_back()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = written(given.mapInArrow(cut, out), "pieces")
+    pieces = written(given.mapInArrow(cut, "id long, piece int, start long, length long, part long, nth long, ids binary"), "pieces")
 
     # a row for each part and length: how many of the length are in earlier parts
     parts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -194,15 +192,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     places = spark.sparkContext.broadcast(Places(minimum_bin_slack(counts, capacity)))  # its size is bounded by capacity, not by documents
 
-    out2 = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-    names2 = [x.split()[0] for x in out2.split(", ")]
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("sequence_id long, offset long")
+    def put(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
         place = places.value.place
-        for batch in batches:
-            got = [place(n, r) for n, r in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist())]
-            cols = [batch.column(c) for c in names2[:5]] + [pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols + ([batch.column("ids")] if with_ids else []), names2)
+        got = [place(n, r) for n, r in zip(lengths.to_pylist(), ranks.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "part")
-    return ranked.mapInArrow(put, out2).withColumnRenamed("id", id_col)
+    put = put.asNondeterministic()  # else it may be run once for each field
+    put_at = pieces.join(before, ["part", "length"]).withColumn("at", put("length", F.col("before") + F.col("nth")))
+    return put_at.select(F.col("id").alias(id_col), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "at.sequence_id", "at.offset", "ids")

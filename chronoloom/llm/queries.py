@@ -41,7 +41,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language_id(docs, size=400, most_rows=20_000)
+    return language_id(docs, size=400, most_rows=5_000)
 
 
 def op3_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,8 @@ def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,8 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def queries() -> dict:

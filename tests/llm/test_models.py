@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm.bpe import Codec, Prefixes, bpe_encode
-from chronoloom.llm.langid import Profiles, language_id, ngrams
+from chronoloom.llm.langid import bounded_sample, Profiles, language_id, ngrams
 from chronoloom.llm.packing import WordTokenizer, fullest, minimum_bin_slack, pack
 from chronoloom.llm.topk import as_integers, nra_topk
 from chronoloom.llm.toxicity import toxicity
@@ -67,6 +67,8 @@ def test_bpe_query(docs, library):
         ids = np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes()
         want[r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
+    by_id = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert all(r["decoded"] == by_id[r["doc_id"]] for r in got)
     assert bpe_encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
@@ -118,6 +120,11 @@ def test_pack(docs):
             at += length
         assert at <= 256
     assert len(by) <= -(-sum(r["length"] for r in got) // 256) + 1
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+    # a document can be read again from its pieces
+    long = max((r for r in docs.collect() if r["text"]), key=lambda r: len(r["text"]))
+    ids = b"".join(r["ids"] for r in sorted((r for r in got if r["doc_id"] == long["doc_id"]), key=lambda r: r["piece"]))
+    assert np.frombuffer(ids, "<u4").tolist() == t.encode(long["text"], add_special_tokens=False).ids + [1]
     assert pack(docs.limit(0), path).count() == 0
 
 
@@ -170,6 +177,19 @@ def test_language_id(spark):
     assert language_id(df.limit(0)).count() == 0
 
 
+def test_bounded_sample_by_language(spark):
+    rows = spark.range(5000).selectExpr("id", "case when id % 100 = 0 then 'few' when id % 2 = 0 then 'many' else 'more' end as lang")
+    got = bounded_sample(rows, F.col("id"), 200, F.col("lang")).collect()
+    assert Counter(r["lang"] for r in got) == {"few": 50, "many": 200, "more": 200}
+    hashes = {r["id"]: r["h"] for r in rows.select("id", F.xxhash64("id", F.lit(7)).alias("h")).collect()}
+    many = sorted(hashes[i] for i in range(5000) if i % 2 == 0 and i % 100)
+    assert sorted(hashes[r["id"]] for r in got if r["lang"] == "many") == many[:200]
+    # in all; repeated ids never exceed the bound
+    assert bounded_sample(rows, F.col("id"), 300).count() == 300
+    assert bounded_sample(rows.select((F.col("id") % 50).alias("id")), F.col("id"), 450).count() == 400
+    assert bounded_sample(rows.limit(0), F.col("id"), 10).count() == 0
+
+
 def test_rank_distance_against_definition():
     def brute(profiles, text, size):
         own = [g for g, _ in sorted(Counter({int(g): int(n) for g, n in zip(*ngrams(text))}).items(), key=lambda x: (-x[1], x[0]))][:size]
