@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -148,8 +149,8 @@ def _tokenizer(path: str, by_words: bool, most_cached: int) -> WordTokenizer:
     return WordTokenizer(path, by_words, most_cached)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, most_cached: int = 160_000) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and ids (binary,
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, with_ids: bool = True, most_cached: int = 160_000) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, ids (binary,
     little-endian 32-bit): a sequence is its pieces' ids in the order of offset. path: a tokenizers file, at the same place on each
     executor. end_id follows each document's ids. most_cached: how many words a worker remembers,
     those of over 48 characters left out.
@@ -160,7 +161,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     spark = docs.sparkSession
-    names = ["id", "piece", "start", "length", "part", "nth", "ids"]
+    names = ["id", "piece", "start", "length", "part", "nth", "ids" if with_ids else "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,15 +176,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     piece = ids[at : at + 4 * capacity]
                     n = len(piece) // 4
                     seen[n] = seen.get(n, -1) + 1
-                    rows.append((i, k, at // 4, n, part, seen[n], piece))
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+                    rows.append((i, k, at // 4, n, part, seen[n], piece if with_ids else zlib.crc32(piece)))
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary() if with_ids else pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
         t.chunks.trim()
         t.words.trim()
         give_back()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = written(given.mapInArrow(cut, "id long, piece int, start long, length long, part long, nth long, ids binary"), "pieces")
+    pieces = written(given.mapInArrow(cut, "id long, piece int, start long, length long, part long, nth long, " + ("ids binary" if with_ids else "ids_crc32 long")), "pieces")
 
     # a row for each part and length: how many of the length are in earlier parts
     parts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -200,4 +201,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     put = put.asNondeterministic()  # else it may be run once for each field
     put_at = pieces.join(before, ["part", "length"]).withColumn("at", put("length", F.col("before") + F.col("nth")))
-    return put_at.select(F.col("id").alias(id_col), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "at.sequence_id", "at.offset", "ids")
+    return put_at.select(F.col("id").alias(id_col), "piece", "start", "length", F.crc32("ids").alias("ids_crc32") if with_ids else "ids_crc32", "at.sequence_id", "at.offset", *["ids"] * with_ids)

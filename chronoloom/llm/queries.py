@@ -125,8 +125,7 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
 
 
 def queries() -> dict:

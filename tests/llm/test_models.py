@@ -125,6 +125,8 @@ def test_pack(docs):
     long = max((r for r in docs.collect() if r["text"]), key=lambda r: len(r["text"]))
     ids = b"".join(r["ids"] for r in sorted((r for r in got if r["doc_id"] == long["doc_id"]), key=lambda r: r["piece"]))
     assert np.frombuffer(ids, "<u4").tolist() == t.encode(long["text"], add_special_tokens=False).ids + [1]
+    lean = pack(docs, path, capacity=256, with_ids=False)
+    assert "ids" not in lean.columns and Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in lean.collect()) == want
     assert pack(docs.limit(0), path).count() == 0
 
 
