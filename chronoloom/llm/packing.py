@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,8 @@ class WordTokenizer:
         self.model, self.letters = self.t.model, _byte_letters()
         self.words = TextCache(self._word, most_cached // 2)
         self.chunks = TextCache(self._chunk, most_cached)
+        #: what stands before punctuation, and punctuation; None if the chunk must be encoded whole
+        self.bases = TextCache(self._base, most_cached)
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
     def _encode(self, text: str) -> bytes:
@@ -127,21 +131,68 @@ class WordTokenizer:
             word = "".join([self.letters[b] for b in word.encode()])
         return b"".join([_LITTLE(x.id) for x in self.model.tokenize(word)])
 
+    def _base(self, base: str) -> bytes | None:
+        m = self.plain(base)
+        if m and not m[2]:
+            return self._word(base if base.islower() else base.lower())
+        if not base or base.strip(string.punctuation) or self._encode(base) != self._word(base):
+            return b"" if not base else None
+        return self._word(base)
+
     def _chunk(self, chunk: str) -> bytes:
         m = self.plain(chunk)
         if not m or (m[2] and m[2] not in self.words and self._encode(m[2]) != self._word(m[2])):
             return self._encode(chunk)
         return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_words:
-            return self._encode(text)
+    @staticmethod
+    def _spaced(text: str) -> str:
+        """The text with chunks parted by spaces alone."""
         try:  # in Latin-1 lower-casing is by letter, as the tokenizer's is
             text.encode("latin-1")
             text = text.lower()
         except UnicodeEncodeError:
             pass
-        return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        return text.replace("\n", " ")
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_words:
+            return self._encode(text)
+        return b"".join(map(self.chunks.__getitem__, filter(None, self._spaced(text).split(" "))))
+
+    def encode_all(self, texts: list[str], together: int = 2_000_000) -> list[bytes]:
+        """encode() of each. Texts go in groups of about `together` characters, in which equal
+        chunks are looked up once; a group with a much longer text goes one by one, so that
+        memory is bounded."""
+        out, begin, size = [], 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= together or k == len(texts):
+                group = texts[begin:k]
+                out += self._group(group) if self.by_words and size < 4 * together else map(self.encode, group)
+                begin, size = k, 0
+        return out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        parts = pc.split_pattern(pa.array(map(self._spaced, texts), pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        made, words = [], self.bases
+        for chunk in coded.dictionary.to_numpy(zero_copy_only=False):
+            base = chunk.rstrip(string.punctuation)
+            ids = words[base]
+            if ids is not None and len(base) < len(chunk):
+                marks = words[chunk[len(base) :]]
+                ids = None if marks is None else ids + marks
+            made.append(self.chunks[chunk] if ids is None else ids)
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // 4
+        begins, codes = np.cumsum(sizes, dtype=np.int32) - sizes, coded.indices.to_numpy()
+        n = sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        # where each id of the texts is among those of the different chunks
+        at = np.repeat(begins[codes] - stops[:-1].astype(np.int32), n) + np.arange(stops[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(made), "<u4")[at].tobytes()
+        edges = (4 * stops[parts.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=4)
@@ -151,8 +202,8 @@ def _tokenizer(path: str, by_words: bool, most_cached: int) -> WordTokenizer:
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, by_words: bool = True, with_ids: bool = True, most_cached: int = 160_000) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, ids (binary,
-    little-endian 32-bit): a sequence is its pieces' ids in the order of offset. path: a tokenizers file, at the same place on each
-    executor. end_id follows each document's ids. most_cached: how many words a worker remembers,
+    little-endian 32-bit): a sequence is its pieces' ids in the order of offset. path: a
+    tokenizers file, at the same place on each executor. end_id follows each document's ids. most_cached: how many words a worker remembers,
     those of over 48 characters left out.
 
     Only documents of more than capacity ids are cut, into pieces of capacity ids, the
@@ -170,8 +221,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = t.encode(text or "") + end
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for i, ids in zip(batch.column(0).to_pylist(), t.encode_all(texts)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     n = len(piece) // 4

@@ -138,6 +138,11 @@ def test_word_tokenizer_equals_the_library():
     for _ in range(1500):
         x = "".join(rng.choice(STRANGE) for _ in range(rng.randint(0, 60)))
         assert np.frombuffer(own.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    texts = ["", "a", *("".join(rng.choice(STRANGE) for _ in range(rng.randint(0, 60))) for _ in range(400)), ""]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for together in (1, 5, 50, 10**6):  # groups of every size, and texts much longer than a group
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts, together)] == want
+    assert own.encode_all([]) == []
 
 
 def test_topk_against_brute_force(spark):
