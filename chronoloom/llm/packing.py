@@ -231,8 +231,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     rows.append((i, k, at // 4, n, part, seen[n], piece if with_ids else zlib.crc32(piece)))
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary() if with_ids else pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
-        t.chunks.trim()
-        t.words.trim()
+        for cache in (t.bases, t.chunks, t.words):
+            cache.trim()
         give_back()
 
     given = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
