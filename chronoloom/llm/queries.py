@@ -98,7 +98,7 @@ def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity(docs, labels, most_rows=12_000)
+    return toxicity(docs, labels)
 
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from chronoloom.llm.bpe import Codec, Prefixes, bpe_encode
 from chronoloom.llm.langid import bounded_sample, Profiles, language_id, ngrams
 from chronoloom.llm.packing import WordTokenizer, fullest, minimum_bin_slack, pack
 from chronoloom.llm.topk import as_integers, nra_topk
-from chronoloom.llm.toxicity import toxicity
+from chronoloom.llm.toxicity import toxicity, train_on
 from chronoloom.llm.warc import dedup_archives, parse, resolve_revisits
 
 P = pytest.importorskip("public_tokenizers")
@@ -236,6 +236,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity(d, y.limit(0)).where("score >= 0.5").count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = spark.range(60_000).selectExpr("id as doc_id", "concat('w', translate(cast(id % 3000 as string), '0123456789', 'abcdefghij')) as text", "'en' as lang", "0 as toxic")
+    m = train_on(rows, "doc_id", "text", "lang", "toxic")  # each word is in 20 rows
+    assert len(m.embeddings) - 1 > 2950
+
+
+def test_toxicity_trained_in_shards(spark):
+    rng = random.Random(10)
+    good = [f"word{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    docs = [(i, " ".join([rng.choice(good) for _ in range(20)] + [f"bad{rng.choice('abcdef')}"] * (i % 3 == 0)), "en") for i in range(1500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = d.selectExpr("*", "int(doc_id % 3 = 0) as toxic")
+    one, two = (train_on(x, "doc_id", "text", "lang", "toxic", shard_words=5_000) for x in (rows, rows.repartition(7)))
+    assert np.array_equal(one.embeddings, two.embeddings) and one.thresholds == two.thresholds and one.bias == two.bias
+    many = toxicity(d, rows.select("doc_id", "toxic").union(spark.createDataFrame([(i, 1) for i in range(5000, 9000)], "doc_id long, toxic int")))
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in many.where("held_out").collect()]) > 0.95
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, sharp = "<p>é</p>" * 200, "a\r\n\r\nb" * 300
     rows = [(1, "http://a/1", big, 0), (2, "http://a/2", big, 0), (9, "http://a/\r\nX: y", big, 0), (3, "u3", "small", 0), (4, "u4", "small", 0), (5, None, None, 0), (6, "u6", "", 0), (7, "u7", sharp, 0), (8, None, sharp, 0), (None, "n", "x" * 1000, 0), (None, "m", "x" * 1000, 0), (3, "u3", "small", 0)]
