@@ -74,22 +74,37 @@ class Classifier:
     votes: np.ndarray | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Pooled filter values of a text and where each is reached; 0 where it is too short."""
-        values, places = [], []
-        for width, w, b in zip(WIDTHS, self.filters, self.biases):
-            best, at = np.zeros(w.shape[2], np.float32), np.full(w.shape[2], -1)
-            for begin in range(0, len(rows) - width + 1, 65_536):  # bounds what is held of a very long text
-                x = self.embeddings[rows[begin : begin + 65_536 + width - 1]]
-                n = len(x) - width + 1
-                z = sum(x[o : o + n] @ w[o] for o in range(width)) + b
-                top = z.argmax(0)
-                value = z[top, np.arange(z.shape[1])]
-                at = np.where(value > best, begin + top, at)
-                best = np.maximum(best, value)
-            values.append(best)
-            places.append(at)
-        return np.concatenate(values), places
+    def taps(self) -> np.ndarray:
+        """All filters' rows, by width and place."""
+        return np.concatenate([w[o].T for w in self.filters for o in range(len(w))])
+
+    def pooled(self, rows: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts that stand one after another in rows, each up to its stop: pooled filter values,
+        a column for each text, and where in rows each is reached; 0 and -1 where none is positive."""
+        n_filters, begins = self.filters[0].shape[2], np.concatenate([[0], stops[:-1]])
+        values = np.zeros((n_filters * len(WIDTHS), len(stops)), np.float32)
+        places = np.full(values.shape, -1)
+        taps = self.taps()
+        for begin in range(0, len(rows), 65_536):  # bounds what is held of very long texts
+            x = self.embeddings[rows[begin : begin + 65_536 + WIDTHS[-1] - 1]]
+            parts = (taps @ x.T).reshape(-1, n_filters, len(x))
+            texts = np.flatnonzero((begins < begin + 65_536) & (stops > begin) & (begins < stops))
+            first, tap = np.maximum(begins[texts] - begin, 0), 0
+            for j, width in enumerate(WIDTHS):
+                n = min(65_536, len(x) - width + 1)
+                z = sum(parts[tap + o][:, o : o + n] for o in range(width)) + self.biases[j][:, None]
+                tap += width
+                over = (stops[texts][:, None] - np.arange(1, width) - begin).ravel()
+                z[:, over[(over >= 0) & (over < n)]] = -np.inf  # windows that go on into the next text
+                inside = first < n
+                for t, at, to in zip(texts[inside].tolist(), first[inside].tolist(), [*first[inside][1:].tolist(), n]):
+                    part, own = z[:, at:to], slice(j * n_filters, (j + 1) * n_filters)
+                    top = part.argmax(1)
+                    value = part[np.arange(n_filters), top]
+                    better = value > values[own, t]
+                    values[own, t][better] = value[better]
+                    places[own, t][better] = (begin + at + top)[better]
+        return values, places
 
     def language(self, rows: np.ndarray) -> str:
         if not self.langs:
@@ -97,7 +112,21 @@ class Classifier:
         return self.langs[int(self.votes[rows].sum(0).argmax())] if len(rows) else self.langs[0]
 
     def raw(self, rows: np.ndarray) -> float:
-        return float(_sigmoid(self.pooled(rows)[0] @ self.weights + self.bias))
+        """Of one text by itself, so that equal texts have equal scores; pooled() without places."""
+        n_filters, taps = self.filters[0].shape[2], self.taps()
+        best = [np.zeros(n_filters, np.float32) for _ in WIDTHS]
+        for begin in range(0, len(rows), 65_536):
+            x = self.embeddings[rows[begin : begin + 65_536 + WIDTHS[-1] - 1]]
+            parts, tap = (taps @ x.T).reshape(-1, n_filters, len(x)), 0
+            for j, width in enumerate(WIDTHS):
+                n = min(65_536, len(x) - width + 1)
+                if n > 0:
+                    z = parts[tap][:, :n]
+                    for o in range(1, width):
+                        z = z + parts[tap + o][:, o : o + n]
+                    best[j] = np.maximum(best[j], z.max(1) + self.biases[j])
+                tap += width
+        return float(_sigmoid(np.concatenate(best) @ self.weights + self.bias))
 
     def score(self, rows: np.ndarray) -> float:
         p, t = self.raw(rows), self.thresholds.get(self.language(rows), 0.5)
@@ -130,41 +159,55 @@ def train_epoch(m: Classifier, rows: list[np.ndarray], labels: np.ndarray, left:
     """Changes m by going over all rows once; left: the rate's part that is left. A share `blank`
     of the words is hidden."""
     n_filters, share = len(m.biases[0]), m.share
-    params = [m.embeddings, *m.filters, *m.biases, m.weights]
+    params = [*m.filters, *m.biases, m.weights]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    first_e, second_e, move = (np.zeros_like(m.embeddings) for _ in range(3))
     step, b1, b2 = 0, 0.9, 0.99
     order = rng.permutation(len(rows))
     for k in range(0, len(order), 32):
-        grads = [np.zeros_like(p) for p in params]
-        g_bias = 0.0
         batch = order[k : k + 32]
-        for i in batch:
-            seen = np.where(rng.random(len(rows[i])) < blank, 0, rows[i])
-            values, places = m.pooled(seen)
-            p = _sigmoid(values @ m.weights + m.bias)
-            # the rarer label weighs more
-            g = (p - labels[i]) * (0.5 / share if labels[i] else 0.5 / (1 - share)) / len(batch)
-            grads[-1] += g * values
-            g_bias += g
-            back = g * m.weights
-            for j, (width, at) in enumerate(zip(WIDTHS, places)):
-                gf = back[j * n_filters : (j + 1) * n_filters] * (at >= 0)
-                on = np.flatnonzero(at >= 0)
-                if not len(on):
-                    continue
-                grads[1 + len(WIDTHS) + j] += gf
-                for o in range(width):
-                    r = seen[at[on] + o]
-                    grads[1 + j][o][:, on] += m.embeddings[r].T * gf[on]
-                    np.add.at(grads[0], r, (m.filters[j][o][:, on] * gf[on]).T)
+        seen, stops = np.concatenate([rows[i] for i in batch]), np.cumsum([len(rows[i]) for i in batch])
+        seen[rng.random(len(seen)) < blank] = 0
+        values, places = m.pooled(seen, stops)
+        p, y = _sigmoid(values.T @ m.weights + m.bias), labels[batch]
+        # the rarer label weighs more
+        g = ((p - y) * np.where(y, 0.5 / share, 0.5 / (1 - share)) / len(batch)).astype(np.float32)
+        back = m.weights[:, None] * g * (places >= 0)
+        by_filter, used, pulls = [], [np.zeros(1, np.int64)], [np.zeros((1, m.embeddings.shape[1]), np.float32)]
+        for j, width in enumerate(WIDTHS):
+            gf, at = back[j * n_filters : (j + 1) * n_filters], places[j * n_filters : (j + 1) * n_filters]
+            on = np.nonzero(at >= 0)
+            of_filter = np.zeros_like(m.filters[j])
+            for o in range(width):
+                r, w = seen[at[on] + o], gf[on][:, None]
+                np.add.at(of_filter[o].T, on[0], m.embeddings[r] * w)
+                used.append(r)
+                pulls.append(m.filters[j][o].T[on[0]] * w)
+            by_filter.append(of_filter)
+        grads = [*by_filter, *back.reshape(len(WIDTHS), n_filters, -1).sum(2), values @ g]
+        used, pulls = np.concatenate(used), np.concatenate(pulls)
+        by = np.argsort(used, kind="stable")
+        used, begins = np.unique(used[by], return_index=True)
+        pulls = np.add.reduceat(pulls[by], begins)
         step += 1
-        lr = rate * left * np.sqrt(1 - b2**step) / (1 - b1**step)
-        for p, g, a, v in zip(params, grads, first, second):
-            a += (1 - b1) * (g - a)
-            v += (1 - b2) * (g * g - v)
+        lr = float(rate * left * np.sqrt(1 - b2**step) / (1 - b1**step))
+        for p, g_p, a, v in zip(params, grads, first, second):
+            a += (1 - b1) * (g_p - a)
+            v += (1 - b2) * (g_p * g_p - v)
             p -= lr * a / (np.sqrt(v) + 1e-8) + rate * decay * p
+        # the same for the embeddings, most of which no text of the batch moves
+        first_e *= b1
+        first_e[used] += (1 - b1) * pulls
+        second_e *= b2
+        second_e[used] += (1 - b2) * pulls * pulls
+        np.sqrt(second_e, out=move)
+        move += 1e-8
+        np.divide(first_e, move, out=move)
+        move *= lr
+        m.embeddings *= 1 - rate * decay
+        m.embeddings -= move
         m.embeddings[0] = 0
-        m.bias -= rate * g_bias
+        m.bias -= rate * float(g.sum())
 
 
 def _dense(m: Classifier) -> np.ndarray:
@@ -184,8 +227,10 @@ def _changes(m: Classifier, words: np.ndarray, stops: np.ndarray, labels: np.nda
     """Of a shard's epoch: (rows of the embeddings, how many texts hold each, changes times that).
     Negative rows stand for parts of the other numbers. words: buckets of all texts in a row."""
     dim = m.embeddings.shape[1]
-    used, at = np.unique(np.concatenate([[0], m.known[words]]), return_inverse=True)  # 0 stays the first
-    rows = np.split(at[1:], stops[:-1])
+    every, is_used = m.known[words], np.zeros(len(m.embeddings), bool)
+    is_used[every] = is_used[0] = True  # 0 stays the first
+    used = np.flatnonzero(is_used)
+    rows = np.split((np.cumsum(is_used) - 1)[every], stops[:-1])
     own = Classifier(m.known, m.embeddings[used], [f.copy() for f in m.filters], [b.copy() for b in m.biases], m.weights.copy(), m.bias, m.share)
     train_epoch(own, rows, labels, left, rng)
     held = np.zeros(len(used), np.int64)

@@ -12,7 +12,7 @@ from chronoloom.llm.bpe import Codec, Prefixes, bpe_encode
 from chronoloom.llm.langid import bounded_sample, Profiles, language_id, ngrams
 from chronoloom.llm.packing import WordTokenizer, fullest, minimum_bin_slack, pack
 from chronoloom.llm.topk import as_integers, nra_topk
-from chronoloom.llm.toxicity import toxicity, train_on
+from chronoloom.llm.toxicity import WIDTHS, toxicity, train_on, untrained
 from chronoloom.llm.warc import dedup_archives, parse, resolve_revisits
 
 P = pytest.importorskip("public_tokenizers")
@@ -242,6 +242,27 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert len(m.embeddings) - 1 > 2950
 
 
+def test_texts_pooled_together_against_definition():
+    rng = np.random.default_rng(9)
+    m = untrained(np.full(500, 9), rng.integers(0, 9, 500), 4500, 2000)
+    m.biases = [rng.normal(0, 0.1, b.shape).astype(np.float32) for b in m.biases]
+    texts = [rng.integers(0, 501, n) for n in (0, 1, 2, 3, 70_000, 0, 5, 300, 1)]  # one goes over a chunk's end
+    rows, stops = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    values, places = m.pooled(rows, stops)
+    for k, t in enumerate(texts):
+        want = []
+        for width, w, b in zip(WIDTHS, m.filters, m.biases):
+            for f in range(w.shape[2]):
+                z = [0.0] if len(t) < width else sum(m.embeddings[t[o : len(t) - width + 1 + o]] @ w[o, :, f] for o in range(width)) + b[f]
+                want.append(max(0.0, np.max(z)))
+                at = places[len(want) - 1, k]
+                assert (at < 0) == (values[len(want) - 1, k] == 0)
+                if at >= 0:
+                    assert np.isclose(z[at - (stops[k] - len(t))], values[len(want) - 1, k], atol=1e-5)
+        assert np.allclose(values[:, k], want, atol=1e-5)
+        assert np.isclose(m.raw(t), 1 / (1 + np.exp(-(np.array(want) @ m.weights + m.bias))), atol=1e-5)
+
+
 def test_toxicity_trained_in_shards(spark):
     rng = random.Random(10)
     good = [f"word{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
