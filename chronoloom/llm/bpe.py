@@ -4,7 +4,8 @@ For each prefix of a piece's bytes there is at most one token that can end its B
 encoding; ``last[i]`` stores it for the prefix of i bytes. A token t ending at i is that
 token if the prefix before it is encoded validly and its own last token does not merge
 with t. So the encoding of every prefix is known at once: bytes can be appended with
-exact results, and after an edit only prefixes near it are done again.
+exact results, and after an edit only prefixes near it are done again. Many pieces are
+encoded together: each step appends a byte to the tables of all of them (``Together``).
 """
 
 from __future__ import annotations
@@ -162,6 +163,131 @@ class Vocabulary:
         return self.split(data, last)
 
 
+class _Map:
+    """Fixed integers to integers, looked up by arrays; -1 where a key is missing."""
+
+    def __init__(self, given: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(given)) for x in (given.keys(), given.values()))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of those for one place, one stays
+            held = self.keys[at] == keys
+            self.values[at[held]] = values[held]
+            keys, values, at = keys[~held], values[~held], (at[~held] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
+class Together:
+    """The tables of many pieces, one step for a byte of each."""
+
+    def __init__(self, v: Vocabulary):
+        n = max(v.tokens, default=-1) + 1
+        self.steps, self.merges = _Map(v.steps), _Map({a << 20 | b: t for (a, b), t in v.merges.items()})
+        self.ends = np.array(v.ends)
+        self.sizes, self.left, self.right = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
+        for t, b in v.tokens.items():
+            self.sizes[t] = len(b)
+        for t, (a, b) in v.parts.items():
+            self.left[t], self.right[t] = a, b
+        #: pairs of tokens met lately, and whether they stay apart
+        self.pairs, self.verdicts = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, bool)
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As Vocabulary.apart."""
+        out = np.ones(len(left), bool)
+        which, limit = np.arange(len(left)), np.full(len(left), 1 << 62)
+        while len(which):
+            across = self.merges(left << 20 | right)
+            joined = (across >= 0) & (across < limit)
+            out[which[joined]] = False
+            which, left, right = which[~joined], left[~joined], right[~joined]
+            inner, outer = self.right[left], self.left[right]
+            # the later of the two is undone; the other one where that is a byte
+            of_left, byte_left, byte_right = left > right, inner == left, outer == right
+            by_left = np.where(of_left, ~byte_left, byte_right)
+            more = ~(byte_left & byte_right)
+            limit = np.where(by_left, left, right + 1)
+            left, right = np.where(by_left, inner, left), np.where(by_left, right, outer)
+            which, left, right, limit = which[more], left[more], right[more], limit[more]
+        return out
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left << 20 | right
+        at = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+        out = self.verdicts[at]
+        new = np.flatnonzero(self.pairs[at] != pairs)
+        if len(new):
+            which, back = np.unique(pairs[new], return_inverse=True)
+            found = self._apart(which >> 20, which & ((1 << 20) - 1))
+            out[new] = found[back]
+            place, first = np.unique(at[new], return_index=True)
+            self.pairs[place], self.verdicts[place] = pairs[new[first]], out[new[first]]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Of each the ids, as little-endian 32-bit integers."""
+        if not pieces:
+            return []
+        sizes = np.array([len(x) for x in pieces])
+        order = np.argsort(-sizes, kind="stable")  # those that go on stand first
+        longest, sizes = int(sizes.max()), sizes[order]
+        data = np.frombuffer(b"".join([pieces[k].ljust(longest, b"\0") for k in order.tolist()]), np.uint8).reshape(len(pieces), longest).T.copy()
+        last = np.full((longest + 1, len(pieces)), -1)
+        who, start, node = (np.zeros(0, np.int64) for _ in range(3))
+        for i in range(longest):
+            n = int(np.searchsorted(-sizes, -i))  # are longer than i
+            new = np.flatnonzero(last[i, :n] >= 0) if i else np.arange(n)
+            going = who < n
+            who = np.concatenate([who[going], new])
+            start = np.concatenate([start[going], np.full(len(new), i)])
+            node = np.concatenate([node[going], np.zeros(len(new), np.int64)])
+            node = self.steps(node << 8 | data[i, who])
+            going = node >= 0
+            who, start, node = who[going], start[going], node[going]
+            token = self.ends[node]
+            ends = np.flatnonzero(token >= 0)
+            w, s, t = who[ends], start[ends], token[ends]
+            fits = s == 0
+            rest = np.flatnonzero(~fits)
+            fits[rest] = self.apart(last[s[rest], w[rest]], t[rest])
+            w, t = w[fits], t[fits]
+            last[i + 1, w[::-1]] = t[::-1]
+        found, at, which = [], sizes.copy(), np.arange(len(pieces))
+        while len(which := which[at[which] > 0]):
+            t = last[at[which], which]
+            if (t < 0).any():
+                raise ValueError("bytes that the vocabulary can't encode")
+            row = np.full(len(pieces), -1)
+            row[which] = t
+            found.append(row)
+            at[which] -= self.sizes[t]
+        tokens = np.array(found[::-1]).reshape(len(found), len(pieces)).T
+        stops = np.cumsum((tokens >= 0).sum(1)) * 4
+        ids = tokens[tokens >= 0].astype("<u4").tobytes()
+        out = [b""] * len(pieces)
+        for k, a, b in zip(order.tolist(), [0, *stops.tolist()], stops.tolist()):
+            out[k] = ids[a:b]
+        return out
+
+
 class Prefixes:
     """The table of bytes that grow and change."""
 
@@ -228,6 +354,7 @@ class Codec:
     def __init__(self, path: str, pattern: str, by_spaces: bool = True, most_cached: int = 300_000):
         self.vocabulary = Vocabulary.read(path)
         self.matches = regex.compile(pattern).findall
+        self.together = Together(self.vocabulary)
         self.pieces = TextCache(self._piece, most_cached // 2)
         self.parts = TextCache(self._part, most_cached)
         self.cut = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+").findall if by_spaces else lambda text: [text]
@@ -244,6 +371,30 @@ class Codec:
         """Ids as little-endian 32-bit integers."""
         return b"".join(map(self.parts.__getitem__, self.cut(text)))
 
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes these parts together and remembers them. Long ones are left to encode()."""
+        matches = list(map(self.matches, parts))
+        single = [p for p, m in zip(parts, matches) if len(m) == 1]
+        wanted = [*single, *{x for m in matches if len(m) > 1 for x in m if x not in self.pieces and len(x) <= self.pieces.longest}]
+        raws = [x.encode() for x in wanted]
+        whole = list(map(self.vocabulary.ranks.get, raws))
+        many = iter(self.together.encode([x for x, t in zip(raws, whole) if t is None]))
+        ids = [next(many) if t is None else _LITTLE(t) for t in whole]
+        for cache, begin, end in ((self.parts, 0, len(single)), (self.pieces, len(single), len(wanted))):
+            for x, i in zip(wanted[begin:end], ids[begin:end]):
+                cache.keep(x, i)
+        for p, m in zip(parts, matches):
+            if len(m) > 1:
+                self.parts.keep(p, b"".join(map(self.pieces.__getitem__, m)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of each; what is new in any of them is encoded together."""
+        cuts = list(map(self.cut, texts))
+        new = [p for p in set().union(*cuts) - self.parts.keys() if p not in self.parts.old and len(p) <= self.parts.longest]
+        for k in range(0, len(new), 20_000):
+            self._learn(new[k : k + 20_000])
+        return [b"".join(map(self.parts.__getitem__, q)) for q in cuts]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -267,7 +418,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in slices(batches):
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = c.encode_all([t or "" for t in batch.column(1).to_pylist()])
             cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids", "decoded"])
         c.parts.trim()

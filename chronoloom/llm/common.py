@@ -118,11 +118,14 @@ class TextCache(dict):
             out = self.make(text)
             if len(text) > self.longest:
                 return out
+        self.keep(text, out)
+        return out
+
+    def keep(self, text: str, out: bytes) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[text] = out
-        return out
 
     def trim(self) -> None:
         """Forgets the old ones; for when a task ends but its worker stays."""

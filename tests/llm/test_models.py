@@ -42,6 +42,20 @@ def test_bpe_equals_the_library(own, library, texts):
         assert own.decode(ids) == t.encode()
 
 
+def test_bpe_of_many_texts_at_once(library, texts):
+    rng = random.Random(8)
+    some = ["".join(rng.choice(STRANGE + "etaoin " * 9) for _ in range(rng.randint(0, 200))) for _ in range(400)]
+    some += [*(t or "" for t in texts), "a" * 300, "", " " + "é" * 48, "x" * 49, "thequickbrownfoxjumps" * 2]
+    want = [library.encode_ordinary(t) for t in some]
+    for most in (10, 300, 300_000):  # with a cache that forgets while the texts are encoded, and one that doesn't
+        c = Codec(RANKS, P.PATTERN, most_cached=most)
+        for _ in range(2):
+            assert [np.frombuffer(i, "<u4").tolist() for i in c.encode_all(some)] == want
+    pieces = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 60))).encode() for _ in range(3000)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in c.together.encode(pieces)] == list(map(c.vocabulary.encode, pieces))
+    assert c.encode_all([]) == [] and c.together.encode([]) == []
+
+
 def test_bpe_append_and_edit(own, library):
     rng, v = random.Random(2), own.vocabulary
     for _ in range(100):
