@@ -7,9 +7,10 @@
 2. Minimizers that occur once are done. Of the others, each different region is fetched
    from the texts: two of its places, or the only one.
 3. Batches of whole minimizers get a suffix order, as deep as ``length``, and a
-   Burrows-Wheeler transform. Breadth-first backward extension, from the empty string,
-   sets common-prefix values in increasing order: the interval of cw, found from that
-   of w, gives the value |w| to the boundary behind it, unless that has one. It stops at
+   Burrows-Wheeler transform. Breadth-first backward extension sets common-prefix values in
+   increasing order: the interval of cw, found from that of w, gives the value |w| to the
+   boundary behind it, unless that has one. It starts from the intervals of 8 bytes, as
+   smaller values follow from the keys that the suffixes were first sorted by, and stops at
    ``length``: boundaries without a value are between suffixes that share that much.
 4. A minimizer with more than ``most`` different regions is cut up first: windows in which
    it stands at neighbouring offsets are a part of their region, equal parts become one,
@@ -153,17 +154,21 @@ def _slabs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield out()
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
+def _heads(data: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each suffix as a number."""
+    n = len(data)
+    padded = np.concatenate([data, np.full(8, _END, np.uint8)])
+    return sum(padded[j : j + n].astype(np.uint64) << np.uint64(8 * (7 - j)) for j in range(8))
+
+
+def suffix_order(data: np.ndarray, depth: int, heads: np.ndarray | None = None) -> np.ndarray:
     """Positions by the first depth bytes or more of their suffixes."""
     n = len(data)
-    padded = np.concatenate([data, np.full(8, _END, np.uint8)]).astype(np.uint64)
-    keys = np.zeros(n, np.uint64)
-    for j in range(8):
-        keys = keys << np.uint64(8) | padded[j : j + n]
+    keys = _heads(data) if heads is None else heads
     order = np.argsort(keys)
     keys = keys[order]
     places = np.arange(n)  # of order, those that aren't settled
-    ranks, known = np.empty(n, np.int64), 8
+    ranks, known, bits = np.empty(n, np.int64), 8, n.bit_length()
     while True:  # a rank is the first place of those that are still alike
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         ranks[order[places]] = np.maximum.accumulate(np.where(new, places, 0))
@@ -176,24 +181,38 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         later = np.full(len(at), n, np.int64)  # past the end: behind all others, as the padding is
         inside = at + known < n
         later[inside] = ranks[at[inside] + known]
-        keys = ranks[at] * (n + 1) + later
-        by = np.argsort(keys)
-        order[places], keys = at[by], keys[by]
+        keys = ranks[at] << bits | later
+        if 3 * bits < 64:  # numbers alone are sorted several times faster than their places
+            keys = np.sort(keys << bits | np.arange(len(at)))
+            by, keys = keys & ((1 << bits) - 1), keys >> bits
+        else:
+            by = np.argsort(keys)
+            keys = keys[by]
+        order[places] = at[by]
         known *= 2
 
 
 def common_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order, for each place in it whether it shares length bytes with the one before)."""
-    n = len(data)
-    order = suffix_order(data, length)
+    n, known = len(data), min(8, length)
+    heads = _heads(data)
+    order = suffix_order(data, length, heads)
     bwt = data[order - 1]
     back = np.empty(n, np.int64)  # place of the suffix that is longer by the symbol in bwt
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
     is_set = np.zeros(n + 1, bool)
     is_set[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n])
+    # what shares less than the heads, and the intervals of heads that share all but the last byte with the next one
+    heads = heads[order] >> np.uint64(8 * (8 - known))
+    edges = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+    is_set[edges] = True
+    lo, hi, heads = np.concatenate([[0], edges[:-1]])[: len(edges)], edges, (heads[edges - 1], heads[edges])
+    near = heads[0] >> np.uint64(8) == heads[1] >> np.uint64(8)
+    for j in range(known):  # strings go over no text's end
+        near &= heads[0] >> np.uint64(8 * j) & np.uint64(255) != _END
+    lo, hi = lo[near], hi[near]
     bits = np.int64(n.bit_length())
-    for _ in range(length):  # intervals of w become those of cw, whose boundary gets the value |w|
+    for _ in range(known, length):  # intervals of w become those of cw, whose boundary gets the value |w|
         sizes = hi - lo
         # an interval of one suffix goes on to one interval
         one = lo[sizes == 1]

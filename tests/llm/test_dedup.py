@@ -9,7 +9,7 @@ from chronoloom.llm.components import stars
 from chronoloom.llm.exact_dedup import Directory, exact_dedup
 from chronoloom.llm.line_dedup import line_bitmaps, line_dedup
 from chronoloom.llm.simhash import fingerprint, fuzzy_keys, keep_one, simhash_components
-from chronoloom.llm.suffix_dedup import as_text, merge, repeated_windows, suffix_dedup
+from chronoloom.llm.suffix_dedup import _heads, as_text, merge, repeated_windows, suffix_dedup, suffix_order
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -171,6 +171,22 @@ def test_repeated_windows():
         assert [x.tolist() for x in repeated_windows(texts, n)] == [[i for i in range(len(t) - n + 1) if counts[t[i : i + n]] > 1] for t in texts]
 
 
+def test_repeated_windows_around_the_heads():
+    """Strings shorter and longer than the 8 bytes from which the extension starts."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        length, letters = rng.choice([1, 2, 7, 8, 9, 12, 20]), rng.integers(1, 3)
+        texts = [bytes(rng.integers(97, 97 + letters, rng.integers(0, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 5))]
+        seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        want = [[i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1] for t in texts]
+        assert [w.tolist() for w in repeated_windows(texts, length)] == want
+        data = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
+        order = suffix_order(data, 64, _heads(data))
+        padded = data.tobytes() + b"\xff" * 64
+        heads = [padded[i : i + 64] for i in order]
+        assert heads == sorted(heads) and sorted(order) == list(range(len(data)))
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (exact_dedup, line_dedup, simhash_components, suffix_dedup, keep_one):
